@@ -32,7 +32,7 @@ from .common import materialize, partitions
 
 DISCOUNT = 0.75
 #: Tokens after which a chunk is closed; a longer text has a chunk of its own.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_500_000
 #: Lower-cases A-Z only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: White space is x20 and x09-x0D, which is what bytes.split() takes.
