@@ -2,61 +2,110 @@
 
 from __future__ import annotations
 
+import gc
+import re
 from collections.abc import Iterable
 
 import numpy as np
 
-#: A worker forgets its words beyond this many, which bounds its memory at about 100 MB.
-MOST_WORDS = 400_000
-#: A special token of the vocabulary, put between words that are encoded in one call.
-MARK, MARK_ID = "<|startoftext|>", 49406
+#: A worker forgets its words, and their pieces, beyond this many; each table stays near 100 MB.
+MOST_WORDS = 600_000
+#: Words of these characters are cut here; NFC leaves them alone and lower() treats each by itself.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The vocabulary's pre-tokenizer within those characters, for lower case.
+ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
 class WordEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    The vocabulary ends tokens at white space (its pre-tokenizer drops white space and never joins
-    across it; NFC doesn't compose across a blank), so a text's ids are those of its pieces between
-    blanks and newlines, one after another.  Each distinct piece is encoded once.
+    The vocabulary's pre-tokenizer drops white space, never joins across it, and cuts words into
+    pieces that are merged apart, so a text's ids are those of its words between blanks and
+    newlines, and a word's ids those of its pieces, one after another.  Each distinct word is cut
+    once and each distinct piece encoded once.  Words with other characters than Latin ones are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        #: The same merges for pieces that are already normalised and cut: only blanks separate.
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        plain: list[str] = []
-        for w in pieces:
+    def learn(self, fresh: Iterable[str]) -> None:
+        """Adds words to ``known``.  Many small lists are made; none is part of a cycle."""
+        gc.disable()
+        try:
+            self._learn(fresh)
+        finally:
+            gc.enable()
+
+    def _learn(self, fresh: Iterable[str]) -> None:
+        if len(self.pieces) > MOST_WORDS:
+            self.pieces = {}
+        cut = []
+        ascii_piece = ASCII_PIECE.findall
+        for w in fresh:
             if "<|" in w:
                 self.known[w] = self.ids(w).tobytes()
+            elif w.isascii() and w.isprintable():
+                cut.append((w, ascii_piece(w.lower())))
+            elif PLAIN.fullmatch(w):
+                cut.append((w, PIECE.findall(w.lower())))
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = self.ids(MARK.join(some))
-            cuts = np.flatnonzero(ids == MARK_ID)
-            begins, ends = np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
-            if len(begins) != len(some):
-                raise RuntimeError("the tokenizer does not keep the mark apart")
-            raw = ids.tobytes()
-            self.known.update((w, raw[b:e]) for w, b, e in zip(some, begins.tolist(), ends.tolist(), strict=True))
+                self.known[w] = self.ids(w).tobytes()
+        self._learn_pieces(list({x for _, p in cut for x in p}.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        self.known.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in cut)
+
+    def _learn_pieces(self, fresh: list[str]) -> None:
+        """Encodes pieces many at a time, with blanks between; each ends with its one word-final token."""
+        for at in range(0, len(fresh), 500):
+            some = fresh[at : at + 500]
+            ids = np.array(self.merger.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(some) or ends[-1] != 4 * len(ids):
+                self.pieces.update((x, self.ids(x).tobytes()) for x in some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for x, end in zip(some, ends.tolist(), strict=True):
+                self.pieces[x], begin = raw[begin:end], end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        cut = [_folded(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > MOST_WORDS:
             self.known = {"": b""}
-        new = set().union(*cut).difference(self.known)
-        if new:
-            self.learn(new)
+        fresh = set().union(*cut).difference(self.known)
+        if fresh:
+            self.learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in cut]
 
 
+def _folded(text: str) -> str:
+    """Lower case for Latin-1 texts, which saves words; the vocabulary ignores case, but not in its special tokens."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
