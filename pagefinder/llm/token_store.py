@@ -155,8 +155,9 @@ def write(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, segme
     return materialize(ordered.mapInArrow(run, SEGMENTS), "tokens")
 
 
-def read(segments: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32, ids)`` from stored segments; ids: little-endian u32 bytes.
+def read(segments: DataFrame, with_ids: bool = True) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32, ids)`` from stored segments; ids: little-endian u32 bytes,
+    left out if not asked for.
 
     Only the id total of each part, a row a partition, comes to the driver.
     """
@@ -177,12 +178,12 @@ def read(segments: DataFrame) -> DataFrame:
                 none = np.unpackbits(np.frombuffer(missing, np.uint8), count=len(n)).astype(bool)
                 own = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(docs_, "<i8"), mask=none), pa.array(ends - n + start + shared.value[part]), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                    [pa.array(np.frombuffer(docs_, "<i8"), mask=none), pa.array(ends - n + start + shared.value[part]), pa.array(n), pa.array([zlib.crc32(x) for x in own], pa.int64()), *([pa.array(own, pa.binary())] if with_ids else [])],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4],
                 )
 
-    return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return read(write(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("ids")
+    return read(write(spark.read.parquet(f"{sf_dir}/documents.parquet")), with_ids=False)
