@@ -21,7 +21,7 @@ def folder(tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     docx(tmp_path / "in/sub/c.DOCX", ["intro", "1 Scope", "steel and steel"])
     (tmp_path / "in/broken.docx").write_bytes(b"no zip")
-    (tmp_path / "in/B.PDF").write_bytes(b"page one steel|")
+    (tmp_path / "in/B.PDF").write_bytes(b"page one steel and more words that make it a page of text|")
     (tmp_path / "in/e.txt").write_text("steel")
     return tmp_path
 
@@ -48,7 +48,8 @@ def test_index_and_cache(spark, folder):
     reader = make_reader()
     built = index.build(files, reader, ocr=lambda *_: [("第九章 steel", 0.5)])
     rows = {(r.file, r.page): r for r in built.collect()}
-    assert rows["B.PDF", 1].text == "page one steel" and not rows["B.PDF", 1].scanned
+    assert rows["B.PDF", 1].text.startswith("page one steel") and not rows["B.PDF", 1].scanned
+    assert rows["B.PDF", 2].scanned and rows["B.PDF", 2].chapter == "第九章 steel" and rows["B.PDF", 2].ocr_conf == 0.5
     sections = sorted((r.block_ord, r.chapter, r.text) for r in built.where("file = 'c.DOCX'").collect())
     assert [s[1:] for s in sections] == [("（未识别章节）", "intro"), ("1 Scope", "1 Scope\nsteel and steel")]
     store = str(folder / "cache")
