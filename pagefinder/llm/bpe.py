@@ -8,6 +8,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import caches
+
 #: A worker forgets its words, and their pieces, beyond this many; each table stays near 100 MB.
 MOST_WORDS = 600_000
 #: Words of these characters are cut here; NFC leaves them alone and lower() treats each by itself.
@@ -109,6 +111,16 @@ def _folded(text: str) -> str:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _forget() -> bool:
+    some = any(len(e.known) > 1 for e in _encoders.values())
+    for e in _encoders.values():
+        e.known, e.pieces = {"": b""}, {}
+    return some
+
+
+caches["pieces"] = _forget
+
+
 def encoder(path: str | None = None) -> WordEncoder:
     """This worker's encoder for the vocabulary file (default: the public ``word_bpe_49k.json``)."""
     if path is None:

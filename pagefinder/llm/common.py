@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,3 +94,18 @@ def sized_broadcast(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame
     Beyond that the join is left to a shuffle, which adaptive execution splits where keys are skewed.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: What workers keep between tasks, by name: how to empty it.
+caches: dict[str, Callable[[], bool]] = {}
+
+
+def only_cache(name: str = "") -> None:
+    """At a task's start: workers are reused, so tables that other operators left in this one go."""
+    if any([clear() for key, clear in caches.items() if key != name]):
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass

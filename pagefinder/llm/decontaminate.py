@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8, words
+from .common import materialize, only_cache, slices, utf8, words
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
@@ -111,6 +111,7 @@ def _frequency(docs: DataFrame, block) -> np.ndarray:
     """How many documents hold each shingle of the block; each task sends its sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         b = block.value
         total = np.zeros(len(b.codes), dtype=np.int64)
         for batch in batches:
@@ -183,6 +184,7 @@ def _joiner(block, prefix):
         return np.concatenate(found, axis=1) if found else np.zeros((3, 0), dtype=np.int64)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache()
         b = block.value
         for batch in batches:
             texts = utf8(batch.column(1))

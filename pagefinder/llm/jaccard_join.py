@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized_broadcast, slices, utf8, words
+from .common import caches, materialize, only_cache, sized_broadcast, slices, utf8, words
 from .components import connected_components
 from .embed_dedup import forest
 
@@ -47,6 +47,15 @@ class _Words(dict):
 _words = _Words()
 
 
+def _forget() -> bool:
+    some = len(_words) > 0
+    _words.clear()
+    return some
+
+
+caches["words"] = _forget
+
+
 def shingles(text: bytes, n: int = NGRAM) -> np.ndarray:
     """Distinct 64-bit hashes, ascending, of a text's runs of ``n`` words (all of a shorter text)."""
     ws = words(text)
@@ -93,6 +102,7 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: i
 
 def _signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("words")
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = utf8(batch.column(1))
@@ -119,6 +129,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     """Shingle sets of the representatives; a row of another text with the same id drops out here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("words")
         for batch in batches:
             found = utf8(batch.column(0))
             for i, j in slices([len(t) for t in found], 1_000_000):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, slices
+from .common import materialize, only_cache, slices
 
 CAPACITY = 2048
 #: Rows of one length that are ranked together.
@@ -117,6 +117,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
     """Documents as pieces: ids of the whole text, then ``end_id``; only longer ones are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("pieces")
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, partitions, slices
+from .common import materialize, only_cache, partitions, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -125,6 +125,7 @@ def write(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, segme
     ordered = docs.select(key, F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_cache("pieces")
         part, segment, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
