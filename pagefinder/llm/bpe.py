@@ -10,8 +10,8 @@ import numpy as np
 
 from .common import caches
 
-#: A worker forgets its words, and their pieces, beyond this many; each table stays near 100 MB.
-MOST_WORDS = 600_000
+#: A worker forgets its words, and their pieces, beyond these many; each table stays near 130 MB.
+MOST_WORDS, MOST_PIECES = 600_000, 600_000
 #: Words of these characters are cut here; NFC leaves them alone and lower() treats each by itself.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
 _LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -55,7 +55,7 @@ class WordEncoder:
             gc.enable()
 
     def _learn(self, fresh: Iterable[str]) -> None:
-        if len(self.pieces) > MOST_WORDS:
+        if len(self.pieces) > MOST_PIECES:
             self.pieces = {}
         cut = []
         ascii_piece = ASCII_PIECE.findall

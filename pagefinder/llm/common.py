@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def lengths(column: pa.Array) -> list[int]:
+    """Bytes of each text of an Arrow string column; null has none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
 def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Cuts 0..len(sizes) into runs of at most ``most`` in total, or of one item that is larger."""
     begin = total = 0

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, materialize, only_cache, sized_broadcast, slices, utf8, words
+from .common import caches, lengths, materialize, only_cache, sized_broadcast, slices, utf8, words
 from .components import connected_components
 from .embed_dedup import forest
 
@@ -32,7 +32,7 @@ RECALL = 0.99
 #: Classes of a cluster in one side of a tile.
 TILE = 1024
 #: A worker forgets word hashes beyond this many.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 400_000
 _SEED = np.random.default_rng(2024)
 _A = (_SEED.integers(1, 1 << 31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _SEED.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -105,9 +105,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
         only_cache("words")
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for i, j in slices([len(t) for t in texts], 1_000_000):
-                sets = [shingles(t) for t in texts[i:j]]
+            for i, j in slices(lengths(batch.column(1)), 1_000_000):
+                sets = [shingles(t) for t in utf8(batch.column(1).slice(i, j - i))]
                 some = [k for k, s in enumerate(sets) if len(s)]
                 label: list[list[int] | None] = [None] * (j - i)
                 if some:
@@ -131,10 +130,9 @@ def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("words")
         for batch in batches:
-            found = utf8(batch.column(0))
-            for i, j in slices([len(t) for t in found], 1_000_000):
+            for i, j in slices(lengths(batch.column(0)), 1_000_000):
                 part = batch.slice(i, j - i)
-                sets = [shingles(t).tobytes() for t in found[i:j]]
+                sets = [shingles(t).tobytes() for t in utf8(part.column(0))]
                 same = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, part.column(1).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(2, 5)), pa.array(sets, pa.binary())], names=["cid", "mult", "component", "set"]).filter(same)
 

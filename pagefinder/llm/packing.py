@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, only_cache, slices
+from .common import lengths, materialize, only_cache, slices
 
 CAPACITY = 2048
 #: Rows of one length that are ranked together.
@@ -120,10 +120,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
         only_cache("pieces")
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in slices([len(t or "") for t in texts], 2_000_000):
+            for i, j in slices(lengths(batch.column(1)), 2_000_000):
+                ids, texts = (batch.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
                 rows = []
-                for doc, raw in zip(ids[i:j], encoder(vocabulary).encode(texts[i:j]), strict=True):
+                for doc, raw in zip(ids, encoder(vocabulary).encode(texts), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         some = raw[at : at + 4 * capacity]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import materialize, only_cache, partitions, slices
+from .common import lengths, materialize, only_cache, partitions, slices
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -141,9 +141,9 @@ def write(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, segme
 
         end = np.uint32(end_id).tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, j in slices([len(t or "") for t in texts], 2_000_000):
-                for doc, raw in zip(ids[i:j], encoder(vocabulary).encode(texts[i:j]), strict=True):
+            for i, j in slices(lengths(batch.column(1)), 2_000_000):
+                ids, texts = (batch.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
+                for doc, raw in zip(ids, encoder(vocabulary).encode(texts), strict=True):
                     if held and size + len(raw) + 4 > 4 * segment_ids:
                         yield flush()
                     held.append((doc, raw + end))
