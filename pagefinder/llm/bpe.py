@@ -10,8 +10,8 @@ import numpy as np
 
 from .common import caches
 
-#: A worker forgets its words, and their pieces, beyond these many; each table stays near 130 MB.
-MOST_WORDS, MOST_PIECES = 600_000, 600_000
+#: A worker forgets its words, and their pieces, beyond this many each; each table stays near 130 MB.
+MOST_WORDS = 600_000
 #: Words of these characters are cut here; NFC leaves them alone and lower() treats each by itself.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
 _LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
@@ -29,7 +29,8 @@ class WordEncoder:
     once and each distinct piece encoded once.  Words with other characters than Latin ones are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
+        self.most_words = most_words
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,7 +56,7 @@ class WordEncoder:
             gc.enable()
 
     def _learn(self, fresh: Iterable[str]) -> None:
-        if len(self.pieces) > MOST_PIECES:
+        if len(self.pieces) > self.most_words:
             self.pieces = {}
         cut = []
         ascii_piece = ASCII_PIECE.findall
@@ -88,7 +89,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
         cut = [_folded(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > self.most_words:
             self.known = {"": b""}
         fresh = set().union(*cut).difference(self.known)
         if fresh:
@@ -121,12 +122,16 @@ def _forget() -> bool:
 caches["pieces"] = _forget
 
 
-def encoder(path: str | None = None) -> WordEncoder:
-    """This worker's encoder for the vocabulary file (default: the public ``word_bpe_49k.json``)."""
+def encoder(path: str | None = None, most_words: int = MOST_WORDS) -> WordEncoder:
+    """This worker's encoder for the vocabulary file (default: the public ``word_bpe_49k.json``).
+
+    ``most_words`` trades time for memory; ids don't depend on it.
+    """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].most_words = most_words
     return _encoders[path]

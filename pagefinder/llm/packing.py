@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import MOST_WORDS, encoder
 from .common import lengths, materialize, only_cache, slices
 
 CAPACITY = 2048
@@ -113,7 +113,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]
     return {"key": (a[:, 0] << 45) | a[:, 1], "rank": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
     """Documents as pieces: ids of the whole text, then ``end_id``; only longer ones are cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
             for i, j in slices(lengths(batch.column(1)), 2_000_000):
                 ids, texts = (batch.column(c).slice(i, j - i).to_pylist() for c in (0, 1))
                 rows = []
-                for doc, raw in zip(ids, encoder(vocabulary).encode(texts), strict=True):
+                for doc, raw in zip(ids, encoder(vocabulary, most_words).encode(texts), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         some = raw[at : at + 4 * capacity]
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabular
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary: str | None = None, most_words: int = MOST_WORDS) -> DataFrame:
     """A row a piece: where it starts in its document, and its sequence and offset there.
 
     Every document has at least its end id, so null and empty texts give a piece of one token.
@@ -143,7 +143,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary:
     groups of about ``RANK_ROWS`` dealt by hash.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, end_id, vocabulary), "pieces")
+    cut = materialize(pieces(docs, capacity, end_id, vocabulary, most_words), "pieces")
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     at = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     groups = max(1, -(-max(counts.values(), default=1) // RANK_ROWS))
