@@ -34,8 +34,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same merges for pieces that are already normalised and cut: only blanks separate.
-        self.merger = Tokenizer.from_file(path)
+        #: The same merges (one copy in memory) for pieces already normalised and cut: only blanks separate.
+        self.merger = Tokenizer(self.tokenizer.model)
         self.merger.normalizer = normalizers.Sequence([])
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
