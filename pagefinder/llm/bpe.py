@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterable
 
@@ -15,9 +14,11 @@ MOST_WORDS = 600_000
 #: Words of these characters are cut here; NFC leaves them alone and lower() treats each by itself.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]*")
 _LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-#: The vocabulary's pre-tokenizer within those characters, for lower case.
-ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: The vocabulary's pre-tokenizer within those characters, for lower case; words are a line each.
+ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+")
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|\n|[^{_LETTERS}{_NUMBERS}\n]+")
+#: Stands between words' ids; it is found nowhere else, as each id has two zero bytes.
+BETWEEN = b"\xff" * 4
 
 
 class WordEncoder:
@@ -39,7 +40,7 @@ class WordEncoder:
         self.merger.normalizer = normalizers.Sequence([])
         self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": BETWEEN}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -48,30 +49,25 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def learn(self, fresh: Iterable[str]) -> None:
-        """Adds words to ``known``.  Many small lists are made; none is part of a cycle."""
-        gc.disable()
-        try:
-            self._learn(fresh)
-        finally:
-            gc.enable()
-
-    def _learn(self, fresh: Iterable[str]) -> None:
+        """Adds words to ``known``: all are cut at once, joined by newlines, which no word holds."""
         if len(self.pieces) > self.most_words:
-            self.pieces = {}
-        cut = []
-        ascii_piece = ASCII_PIECE.findall
+            self.pieces = {"\n": BETWEEN}
+        ascii_words, latin_words = [], []
         for w in fresh:
             if "<|" in w:
                 self.known[w] = self.ids(w).tobytes()
             elif w.isascii() and w.isprintable():
-                cut.append((w, ascii_piece(w.lower())))
+                ascii_words.append(w)
             elif PLAIN.fullmatch(w):
-                cut.append((w, PIECE.findall(w.lower())))
+                latin_words.append(w)
             else:
                 self.known[w] = self.ids(w).tobytes()
-        self._learn_pieces(list({x for _, p in cut for x in p}.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        self.known.update((w, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for w, p in cut)
+        for some, pattern in ((ascii_words, ASCII_PIECE), (latin_words, PIECE)):
+            if some:
+                cut = pattern.findall("\n".join(some).lower())
+                self._learn_pieces(list(set(cut).difference(self.pieces)))
+                raw = b"".join(map(self.pieces.__getitem__, cut))
+                self.known.update(zip(some, raw.split(BETWEEN), strict=True))
 
     def _learn_pieces(self, fresh: list[str]) -> None:
         """Encodes pieces many at a time, with blanks between; each ends with its one word-final token."""
@@ -115,7 +111,7 @@ _encoders: dict[str, WordEncoder] = {}
 def _forget() -> bool:
     some = any(len(e.known) > 1 for e in _encoders.values())
     for e in _encoders.values():
-        e.known, e.pieces = {"": b""}, {}
+        e.known, e.pieces = {"": b""}, {"\n": BETWEEN}
     return some
 
 
