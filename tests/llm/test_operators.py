@@ -231,6 +231,16 @@ def test_fuzzy_lines(spark):
     assert got == {(0, 0), (None, 0)}
 
 
+def test_line_tails(spark):
+    code = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200))
+    lines = ["December 2018", "December 2019", "Invoice no 10482", "Invoice no 17733", "Total: 1,234.56", "Total: 1,234.99"]
+    lines += ["https://www.one.example/first", "https://www.other.example/second/page", code[:12] + code[20:100], code[:12] + code[100:]]
+    lines += ["ភាសាខ្មែរជាភាសាផ្លូវការ", "ភាសាខ្មែរជាអក្សរបុរាណ", "x", "y"]
+    docs = list(enumerate(lines))
+    got = {(r.doc_id, r.line_no) for r in line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).where("kept").collect()}
+    assert got == {(d, 0) for d, _ in docs}
+
+
 def test_licenses(spark, docs, empty):
     mit = dict(licenses.KNOWN)["MIT"]
     texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,"), mit.replace("sublicense", "sub-license") + "\n", mit + " Extra.", "", None, "Licensed under CC BY-NC 4.0"]
