@@ -241,6 +241,19 @@ def test_line_tails(spark):
     assert got == {(d, 0) for d, _ in docs}
 
 
+def test_one_letter_edits(spark):
+    rng = random.Random(5)
+    docs = []
+    for k, n in enumerate(range(30, 121, 2)):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=n - 2))
+        at = rng.randrange(n - 2)
+        docs += [(2 * k, f"a{line}b"), (2 * k + 1, f"a{line[:at]}#{line[at + 1 :]}b")]
+    gone = {d for d, _ in docs} - {d for d, _ in line_dedup.brute_force(docs)}
+    assert gone >= {d for d, t in docs if d % 2 and len(t) > 50} and all(d % 2 for d in gone)
+    found = {r.doc_id for r in line_dedup.line_classes(spark.createDataFrame(docs, "doc_id long, text string")).where("not kept").collect()}
+    assert found <= gone and len(found) >= 0.95 * len(gone)
+
+
 def test_licenses(spark, docs, empty):
     mit = dict(licenses.KNOWN)["MIT"]
     texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ,"), mit.replace("sublicense", "sub-license") + "\n", mit + " Extra.", "", None, "Licensed under CC BY-NC 4.0"]
