@@ -1,13 +1,13 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by projection passes.
 
-A pass hashes every vector by random hyperplanes; the signs, concatenated, are a 62-bit code.
-Vectors are ordered lexicographically by code (a range-partitioned sort), and each is compared with
-its neighbours in a window of one to two blocks of ``block`` rows.  Pairs of cosine ``threshold`` or
-more are verified in double precision and united across passes by distributed union-find.  The
-number of passes follows from the number of vectors, so recall is alike at every size: a pair at
-the threshold agrees in a code's first log2(n / block) bits with a known probability.
+A pass hashes every vector by random hyperplanes, one for each bit of log2(n / block): vectors whose
+signs are all equal share a bucket, and all pairs of a bucket are compared, in tiles where it is
+larger than a block.  Pairs of cosine ``threshold`` or more are verified in double precision and
+united across passes by distributed union-find.  The number of passes follows from the number of
+vectors, so recall is alike at every size and however crowded a region is: a pair at the threshold
+agrees in all bits with a known probability.  Crowded buckets cost the square of their rows.
 
-Windows only serve to find components.  Links are then counted between all members of a component,
+Buckets only serve to find components.  Links are then counted between all members of a component,
 tile by tile, so no link inside a component is missed, however large the group.
 """
 
@@ -23,22 +23,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize
 from .components import connected_components
 
 THRESHOLD = 0.9
 BLOCK = 1024
 RECALL = 0.99
-CODE_BITS = 62
+#: Blocks in one side of a tile of a bucket.
+SIDE = 8
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, block: int = BLOCK, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has been neighbours with probability ``recall``."""
+    """Passes after which a pair at the threshold has shared a bucket with probability ``recall``."""
     agree = 1 - math.acos(min(1.0, threshold)) / math.pi
     once = agree ** max(1.0, math.log2(max(2, n) / block))
     return 1 if once >= 1 else max(2, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
+def bits_for(n: int, block: int = BLOCK) -> int:
+    """Bits of a code: buckets hold one to two blocks if vectors are evenly spread."""
+    return max(0, math.floor(math.log2(max(1, n) / block)))
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -80,11 +86,11 @@ def _prepare(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "rid long, vec_id long, key binary, vec binary")
 
 
-def _codes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
+def _codes(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     """A row a pass and class: (pass, code, cid, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.int64(1) << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64)
+        weight = np.int64(1) << np.arange(bits - 1, -1, -1, dtype=np.int64)
         planes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             vecs = batch.column(1).to_pylist()
@@ -92,7 +98,7 @@ def _codes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
                 own = [i for i, v in enumerate(vecs) if len(v) == size]
                 x = _unit([vecs[i] for i in own])
                 if size not in planes:
-                    planes[size] = [np.random.default_rng([seed, p]).standard_normal((x.shape[1], CODE_BITS)) for p in range(passes)]
+                    planes[size] = [np.random.default_rng([seed, p]).standard_normal((x.shape[1], bits)) for p in range(passes)]
                 part = batch.take(pa.array(own))
                 for p, h in enumerate(planes[size]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p), pa.int32()), pa.array(((x @ h) > 0) @ weight), part.column(0), part.column(1)], names=["pass", "code", "cid", "vec"])
@@ -100,37 +106,36 @@ def _codes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     return classes.select("cid", "vec").mapInArrow(run, "pass int, code long, cid long, vec binary")
 
 
-def _neighbours(threshold: float, block: int):
-    """Streams rows in order; compares each block with itself and the block before it."""
+def _tiles(rows: DataFrame, bucket: list[str], size: DataFrame, side: int) -> DataFrame:
+    """Rows of each bucket dealt into blocks of about ``side``, once for each tile (ti, tj) they take part in."""
+    dealt = rows.join(size.withColumn("nb", F.ceil(F.col("_n") / side).cast("int")), bucket)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    tile = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return tile.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key: list[tuple] = []
-        held_vec: list[bytes] = []
-        before: tuple[np.ndarray, np.ndarray] | None = None
-
-        def compare() -> pa.RecordBatch:
-            nonlocal before
-            cid, x = np.array([c for *_, c in held_key]), _unit(held_vec)
-            ids, y = (cid, x) if before is None else (np.concatenate([before[0], cid]), np.concatenate([before[1], x]))
-            i, j = np.nonzero(x @ y.T >= threshold)
-            i += len(ids) - len(cid)
-            keep = ids[i] != ids[j]
-            i, j = i[keep], j[keep]
-            tree = forest(len(ids), i, j)
-            before = (cid, x)
-            return pa.RecordBatch.from_arrays([pa.array(ids[i[tree]], pa.int64()), pa.array(ids[j[tree]], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for p, cid, vec in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True):
-                new = bool(held_key) and (held_key[0][0] != p or len(held_vec[0]) != len(vec))
-                if len(held_key) >= block or new:
-                    yield compare()
-                    held_key, held_vec = [], []
-                    before = None if new else before
-                held_key.append((p, cid))
-                held_vec.append(vec)
-        if held_key:
-            yield compare()
+def _near(threshold: float, block: int):
+    """Links that connect all that the links between the two blocks of a tile connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, at = table.column("cid").to_numpy(), table.column("block").to_numpy()
+        i, j = table.column("ti")[0].as_py(), table.column("tj")[0].as_py()
+        x = _unit(table.column("vec").to_pylist())
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        label = np.arange(len(cid))
+        other = x[right]
+        for begin in range(0, len(left), block):
+            rows = left[begin : begin + block]
+            hit = x[rows] @ other.T >= threshold
+            if i == j:
+                hit[np.arange(len(rows)), np.arange(begin, begin + len(rows))] = False
+            for k in np.flatnonzero(hit.any(axis=1)):
+                found = np.unique(label[right[hit[k]]])
+                found = np.union1d(found, label[rows[k]])
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+        moved = np.flatnonzero(label != np.arange(len(cid)))
+        return pa.table({"a": cid[moved], "b": cid[label[moved]]})
 
     return run
 
@@ -175,17 +180,17 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     sizes = materialize(sizes, "classes")
     reps = materialize(sizes.join(rows.select(F.col("rid").alias("cid"), "vec"), "cid").select("cid", "mult", "vec"), "representatives")
     n = reps.count()
-    passes = passes_for(n, threshold, block, recall)
-    dealt = max(1, min(partitions(spark), n * passes // (8 * block)))
-    ordered = _codes(reps, passes, seed).repartitionByRange(dealt, "pass", "code", "cid").sortWithinPartitions("pass", "code", "cid")
-    components = connected_components(ordered.mapInArrow(_neighbours(threshold, block), "a long, b long"))
+    bits = bits_for(n, block)
+    passes = passes_for(n, threshold, block, recall) if bits else 1
+    bucket = ["pass", "code", "dim"]
+    codes = _codes(reps, passes, bits, seed).withColumn("dim", F.length("vec"))
+    size = _codes(reps, passes, bits, seed).withColumn("dim", F.length("vec")).groupBy(bucket).agg(F.count("*").alias("_n")).where("_n > 1")
+    near = _tiles(codes, bucket, materialize(size, "buckets"), SIDE * block).select(*bucket, "ti", "tj", "block", "cid", "vec")
+    components = connected_components(near.groupBy(*bucket, "ti", "tj").applyInArrow(_near(threshold, block), "a long, b long"))
 
     size = components.groupBy("component").agg(F.count("*").alias("_n"))
-    member = components.join(size, "component").join(reps.withColumnRenamed("cid", "node"), "node")
-    member = member.select("component", F.col("node").alias("cid"), "mult", "vec", F.ceil(F.col("_n") / block).cast("int").alias("nb"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    tile = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    tile = tile.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other"))
+    member = components.join(reps.withColumnRenamed("cid", "node"), "node").select("component", F.col("node").alias("cid"), "mult", "vec")
+    tile = _tiles(member, ["component"], size, block)
     small = F.pmod(F.xxhash64("component"), F.lit(max(1, n // 4096)))
     tile = tile.withColumn("deal", F.when(F.col("nb") == 1, -1 - small).otherwise(F.col("component")))
     links = tile.select("deal", "component", "ti", "tj", "block", "cid", "mult", "vec").groupBy("deal", "ti", "tj").applyInArrow(_count(threshold), "cid long, n long")

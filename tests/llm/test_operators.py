@@ -198,6 +198,24 @@ def test_embeddings(spark):
     assert got[900].component_id == 0 and not got[900].kept and all(got[i].n_links == 0 and got[i].kept for i in range(901, 907))
 
 
+def test_crowded_embeddings(spark):
+    rng = np.random.default_rng(4)
+    turned = lambda x, by: by * x + np.sqrt(1 - by**2) * rng.standard_normal(x.shape) / np.sqrt(x.shape[1])
+    axis = np.zeros((1, 256))
+    axis[0, 0] = 1
+    hot = turned(np.repeat(axis, 1500, 0), 0.84**0.5)
+    twins = turned(hot[:100], 0.925)
+    x = np.concatenate([hot, twins, rng.standard_normal((1500, 256)) / 16])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = near.sum(axis=1)
+    assert 150 <= (want > 0).sum() <= 250
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=32).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.97 * want.sum()
+
+
 def test_quality(spark, docs, empty):
     good = [(i, "plain words of a text " * 5, 1) for i in range(0, 40)]
     bad = [(i, "WORDS!! LOUD$$$ " * 5, 0) for i in range(40, 80)]
