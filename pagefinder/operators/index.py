@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import NO_CHAPTER
 from ..sources import files as source
 from . import blocks as rules
 from .cache import cache_key, misses
@@ -12,12 +13,18 @@ from .ocr import OcrEngine, recognise
 
 
 def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, cached: DataFrame | None = None) -> DataFrame:
-    """Blocks of files (of ``sources.files``) that ``cached`` doesn't hold, with cache_key and modified."""
+    """Blocks of files (of ``sources.files``) that ``cached`` doesn't hold, with cache_key and modified.
+
+    A file too large to be loaded has one block without text whose ocr_error says so.
+    """
     files = files.withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
     files = files if cached is None else misses(files, cached)
     out = rules.section_blocks(source.read_paragraphs(files, convert))
     if pdf_reader is not None:
         out = out.unionByName(rules.page_blocks(source.read_pages(files, pdf_reader)))
     out = recognise(out, ocr) if ocr is not None else out.withColumn("ocr_conf", F.lit(None).cast("double"))
+    large = source.oversized(files).where(F.col("suffix") != ".pdf" if pdf_reader is None else F.lit(True))
+    large = large.select(rules.base_name(F.col("path")).alias("file"), "path", F.lit(NO_CHAPTER).alias("chapter"), F.lit("").alias("text"), F.lit(False).alias("scanned"), F.col("error").alias("ocr_error"), F.lit(0).cast("long").alias("block_ord"))
+    out = out.unionByName(large, allowMissingColumns=True)
     keys = files.select("path", "cache_key", F.col("modificationTime").alias("modified"))
     return out.join(keys, "path")

@@ -51,6 +51,12 @@ def supported(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("suffix", suffix(F.col(path))).where(F.col("suffix").isin(*SUPPORTED))
 
 
+def oversized(files: DataFrame) -> DataFrame:
+    """(path, suffix, error) of files that are too large to be loaded; their content is not touched."""
+    error = F.format_string("file of %d bytes is above the limit of %d", F.col("length"), F.lit(MOST_BYTES))
+    return files.where(F.col("length") > MOST_BYTES).select("path", "suffix", error.alias("error"))
+
+
 def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
     """(text, style name) of the body's paragraphs; tables, headers and footnotes are not read."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -93,7 +99,9 @@ def read_paragraphs(files: DataFrame, convert: DocConverter | None = None) -> Da
                 frame = pd.DataFrame(out, columns=["path", "para_idx", "text", "style", "error"])
                 yield frame.astype({"para_idx": "Int32"})
 
-    return files.where(F.col("suffix").isin(".docx", ".doc") & (F.col("length") <= MOST_BYTES)).select("path", "suffix", "content").mapInPandas(run, RAW_PARAGRAPHS)
+    known = F.col("suffix").isin(".docx", ".doc")
+    fine = files.where(known & (F.col("length") <= MOST_BYTES)).select("path", "suffix", "content").mapInPandas(run, RAW_PARAGRAPHS)
+    return fine.unionByName(oversized(files).where(known).select("path", "error"), allowMissingColumns=True)
 
 
 def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
@@ -110,4 +118,6 @@ def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
                 frame = pd.DataFrame(out, columns=["path", "producer", "page_idx", "raw_text", "n_images", "has_text_block", "error"])
                 yield frame.astype({"page_idx": "Int32", "n_images": "Int32", "has_text_block": "boolean"})
 
-    return files.where((F.col("suffix") == ".pdf") & (F.col("length") <= MOST_BYTES)).select("path", "content").mapInPandas(run, RAW_PAGES)
+    known = F.col("suffix") == ".pdf"
+    fine = files.where(known & (F.col("length") <= MOST_BYTES)).select("path", "content").mapInPandas(run, RAW_PAGES)
+    return fine.unionByName(oversized(files).where(known).select("path", "error"), allowMissingColumns=True)

@@ -37,6 +37,17 @@ def blocks(spark, rows):
     return spark.createDataFrame([(f, i + 1, "c", t, i) for i, (f, t) in enumerate(rows)], "file string, page int, chapter string, text string, block_ord long")
 
 
+def test_large_files_are_listed(spark, folder, monkeypatch):
+    monkeypatch.setattr(source, "MOST_BYTES", 1)
+    files = source.scan_folder(spark, str(folder / "in"))
+    reader = make_reader()
+    want = {r.path for r in files.collect()}
+    read = source.read_paragraphs(files).select("path", "error").union(source.read_pages(files, reader).select("path", "error"))
+    assert {r.path for r in read.where("error like '%above the limit%'").collect()} == want and read.count() == len(want)
+    built = index.build(files, reader).collect()
+    assert {r.path for r in built} == want and all(r.text == "" and "above the limit" in r.ocr_error for r in built)
+
+
 def test_index_and_cache(spark, folder):
     files = source.scan_folder(spark, str(folder / "in"))
     assert {r.suffix for r in files.select("suffix").collect()} == {".docx", ".pdf"}
