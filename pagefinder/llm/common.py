@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +30,12 @@ def words(text: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset
+    and driver and executors are one process (``local[...]``); elsewhere that would be no shared folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagefinder-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -46,16 +50,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagefinder/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+#: Where tables made by ``materialize`` are.
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table made by ``materialize`` that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/pagefinder/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``materialize`` that nothing reads any more; others are left alone."""
+    for df in tables:
+        if path := _stored.pop(df, None):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -85,6 +95,32 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of links (a, b) that already connect everything all links connect."""
+    root = list(range(n))
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, dtype=np.int64)
+
+
+def with_rid(docs: DataFrame) -> DataFrame:
+    """(rid, row): every row under an id of its own, all its columns as they are in a struct.
+
+    Written, so that the ids are the same whenever it is read; a row is told from all others by ``rid``,
+    whatever ids repeat or are null, and no column of the caller's can clash.
+    """
+    return materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "rows")
+
+
 def bucket5(column: str = "doc_id"):
     """crc32 of the id as text, modulo 5; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
@@ -94,12 +130,14 @@ def bucket5(column: str = "doc_id"):
 MOST_BROADCAST_ROWS = 1_000_000
 
 
-def sized_broadcast(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+def sized_broadcast(df: DataFrame, most: int = MOST_BROADCAST_ROWS, rows: DataFrame | None = None) -> DataFrame:
     """Marks a written table of a few fixed-width columns for broadcast if it has at most ``most`` rows.
 
     Beyond that the join is left to a shuffle, which adaptive execution splits where keys are skewed.
+    ``rows``: the table to be counted, where ``df`` holds its rows in arrays.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    counted = df if rows is None else rows
+    return F.broadcast(df) if counted.limit(most + 1).count() <= most else df.hint("merge")
 
 
 #: What workers keep between tasks, by name: how to empty it.

@@ -50,23 +50,6 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions of links (a, b) that already connect everything all links connect."""
-    root = list(range(n))
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(k)
-    return np.array(kept, dtype=np.int64)
-
-
 def _prepare(vectors: DataFrame) -> DataFrame:
     """Row ids, and for vectors that can link their direction (doubles) and a key of their values."""
 

@@ -1,13 +1,16 @@
 """N-gram Jaccard join by a MinHash LSH forest and exact verification.
 
 Texts are sets of their 5-word shingles.  A signature has ``TREES`` labels of ``DEPTH`` MinHash values
-(8 bits each, 64 bits in all); sorted, the labels of a tree are a prefix trie.  Matches start at
-whole labels and the prefix is shortened until, for a pair at the threshold, the chance of sharing a
-prefix in some tree reaches the target recall.  Texts that share such a prefix are candidates.
-
-Equal sets are one class and compared once.  Candidates that hang together form a cluster; every
-pair of classes in it is verified exactly, in tiles of bounded size, and tiles return sums and
-spanning links, never all pairs.
+(8 bits each, 64 bits in all); ordered by value, the labels of a tree are a prefix trie, whose nodes
+are the texts that agree in a prefix.  Matching starts at whole labels.  Then prefixes are shortened a
+value at a time: a node that has nothing but one component's texts is done, and texts meet others
+only in nodes that still hold several.  Shortening ends where, for a pair at the threshold, the
+chance of sharing a node in some tree reaches the target recall.
+
+Texts of a node are verified exactly before they are united (``verify``): with the node's hub first, and
+in tiles where that leaves several components, so unlike texts never chain.  Equal sets are one class
+and compared once.  Links are then counted between all classes of a component, in tiles of bounded
+size that return sums, never pairs.
 """
 
 from __future__ import annotations
@@ -17,13 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import caches, lengths, materialize, only_cache, sized_broadcast, slices, utf8, words
-from .components import connected_components
-from .embed_dedup import forest
+from .common import caches, discard, lengths, materialize, only_cache, sized_broadcast, slices, utf8, with_rid, words
+from .verify import once, overlaps, tiles, unite_groups
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -101,88 +102,48 @@ def prefix_length(threshold: float = THRESHOLD, recall: float = RECALL, trees: i
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
+    """(rid, doc_id, t, key, labels) of (rid, doc_id, text); t: hash of the text, key: digest of its set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("words")
-        task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i, j in slices(lengths(batch.column(1)), 1_000_000):
-                sets = [shingles(t) for t in utf8(batch.column(1).slice(i, j - i))]
+            for i, j in slices(lengths(batch.column(3)), 1_000_000):
+                sets = [shingles(t) for t in utf8(batch.column(3).slice(i, j - i))]
                 some = [k for k, s in enumerate(sets) if len(s)]
                 label: list[list[int] | None] = [None] * (j - i)
                 if some:
                     for k, row in zip(some, labels([sets[k] for k in some]).tolist(), strict=True):
                         label[k] = row
-                columns = [
-                    pa.array(np.arange(made, made + j - i) + (task << 33)),
-                    batch.column(0).slice(i, j - i),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(label, pa.list_(pa.int64())),
-                ]
-                made += j - i
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "doc_id", "key", "labels"])
+                own = [batch.column(c).slice(i, j - i) for c in range(3)]
+                keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary()), pa.array(label, pa.list_(pa.int64()))], names=["rid", "doc_id", "t", "key", "labels"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "rid long, doc_id long, key binary, labels array<long>")
+    text = F.col("text").cast("string")
+    return docs.select("rid", F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text).mapInArrow(run, "rid long, doc_id long, t long, key binary, labels array<long>")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """Shingle sets of the representatives; a row of another text with the same id drops out here."""
+def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(cid, item) of classes, items being shingle sets, read again from the text (doc_id, t) of one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("words")
         for batch in batches:
-            for i, j in slices(lengths(batch.column(0)), 1_000_000):
-                part = batch.slice(i, j - i)
-                sets = [shingles(t).tobytes() for t in utf8(part.column(0))]
-                same = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, part.column(1).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(2, 5)), pa.array(sets, pa.binary())], names=["cid", "mult", "component", "set"]).filter(same)
-
-    return texts.select("text", "key", "cid", "mult", "component").mapInArrow(run, "cid long, mult long, component long, set binary")
-
+            for i, j in slices(lengths(batch.column(1)), 1_000_000):
+                sets = [shingles(t).tobytes() for t in utf8(batch.column(1).slice(i, j - i))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["cid", "item"])
 
-def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set (places in ``sets``).
+    texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")).withColumn("_t", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+    return texts.join(sized_broadcast(materialize(places, "places")), same).select("cid", "text").mapInArrow(run, "cid long, item binary")
 
-    Shingles that many of the sets hold are multiplied as 0/1 matrices, a few thousand columns
-    at a time; the others are paired one by one.
-    """
-    n = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), n)
-    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    l_at, r_at = np.full(len(sets), -1), np.full(len(sets), -1)
-    l_at[left], r_at[right] = np.arange(len(left)), np.arange(len(right))
-    out = np.zeros((len(left), len(right)), np.float32)
-    common = held >= 12
-    number = np.cumsum(common) - 1
-    keep = common[column]
-    r, c = row[keep], number[column[keep]]
-    order = np.argsort(c, kind="stable")
-    r, c = r[order], c[order]
-    width = 4096
-    for at in range(0, int(common.sum()), width):
-        i, j = np.searchsorted(c, [at, at + width])
-        x = np.zeros((len(sets), width), np.float32)
-        x[r[i:j], c[i:j] - at] = 1
-        out += x[left] @ x[right].T
-    flat = out.ravel()
-    order = np.argsort(column, kind="stable")
-    begins = np.cumsum(held) - held
-    for k in range(2, 12):
-        cols = np.flatnonzero(held == k)
-        for some in np.array_split(cols, max(1, len(cols) * k * k // 2_000_000)):
-            if len(some):
-                m = row[order[begins[some][:, None] + np.arange(k)]]
-                a, b = np.repeat(m, k, axis=1).ravel(), np.tile(m, (1, k)).ravel()
-                fine = (l_at[a] >= 0) & (r_at[b] >= 0)
-                flat += np.bincount(l_at[a[fine]] * len(right) + r_at[b[fine]], minlength=len(flat))
-    # a set is in both sides of a tile on the diagonal; shingles only it holds don't matter to pairs
-    return out
 
+def _count(threshold: float):
+    """Links of each class with classes of its component, between the two blocks of a tile."""
 
-def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        comp, block, ti, tj, cid, mult = (table.column(c).to_numpy() for c in ("component", "block", "ti", "tj", "cid", "mult"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        a_, b_, n_ = [], [], []
+        comp, block, ti, tj, cid, mult = (table.column(c).to_numpy() for c in ("c", "block", "ti", "tj", "cid", "mult"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("item").to_pylist()]
+        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         order = np.argsort(comp, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
             left, right = np.flatnonzero(block[own] == ti[own]), np.flatnonzero(block[own] == tj[own])
@@ -190,77 +151,80 @@ def _verify(threshold: float):
                 continue
             size = np.array([len(sets[k]) for k in own], np.float64)
             both = overlaps([sets[k] for k in own], left, right).astype(np.float64)
-            hit = both / (size[left][:, None] + size[right][None] - both) >= threshold
-            ids, weight = cid[own], mult[own]
+            hit = both >= threshold * (size[left][:, None] + size[right][None] - both)
             if ti[own[0]] == tj[own[0]]:
                 np.fill_diagonal(hit, False)
-                counts = [(ids[left], hit @ weight[right])]
             else:
-                counts = [(ids[left], hit @ weight[right]), (ids[right], hit.T @ weight[left])]
-            for i, n in counts:
-                a_.append(i[n > 0])
-                b_.append(np.full(len(a_[-1]), -1))
-                n_.append(n[n > 0])
-            x, y = np.nonzero(hit)
-            x, y = left[x], right[y]
-            tree = forest(len(own), x, y)
-            a_.append(ids[x[tree]])
-            b_.append(ids[y[tree]])
-            n_.append(np.zeros(len(tree), np.int64))
-        join = lambda parts: np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": join(a_), "b": join(b_), "n": join(n_)})
+                ids.append(cid[own][right])
+                counts.append(hit.T @ mult[own][left])
+            ids.append(cid[own][left])
+            counts.append(hit @ mult[own][right])
+        return pa.table({"cid": np.concatenate(ids), "n": np.concatenate(counts).astype(np.int64)})
 
     return run
 
 
+def _jaccard(docs: DataFrame, threshold: float, recall: float, tile: int) -> DataFrame:
+    """``jaccard_classes`` for (rid, doc_id, text), with rid."""
+    rows = materialize(_signatures(docs), "signatures")
+    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), F.count("*").alias("mult")), "classes")
+    reps = classes.join(rows.select(F.col("rid").alias("cid"), "doc_id", "t", "labels"), "cid")
+    least = prefix_length(threshold, recall)
+    node = lambda d: F.xxhash64("tree", F.shiftrightunsigned("label", 64 - 8 * d))
+    leaves = materialize(reps.select("cid", F.posexplode("labels").alias("tree", "label")).withColumn("key", node(least)), "labels")
+    shared = materialize(leaves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "nodes")
+    trie = materialize(leaves.join(sized_broadcast(shared), "key", "left_semi").select("tree", "label", "cid"), "trie")
+    members = materialize(trie.select("cid").distinct(), "members")
+    places = rows.select(F.col("rid").alias("cid"), "doc_id", "t").join(sized_broadcast(members), "cid", "left_semi")
+    sets = once(_sets(docs, places), members)
+    near = None
+    for d in range(DEPTH, least - 1, -1):
+        nodes = trie.select(node(d).alias("key"), "cid")
+        held = materialize(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "nodes")
+        near = unite_groups(materialize(nodes.join(sized_broadcast(held), "key", "left_semi"), "trie-nodes"), sets, threshold, near, tile)
+    discard(leaves, shared, members)
+
+    linked = near.join(classes.select("cid", "mult"), "cid").join(sets, "cid")
+    size = materialize(near.groupBy("c").agg(F.count("*").alias("n")).where("n > 1"), "component-sizes")
+    dealt = tiles(linked, "c", size, tile)
+    small = F.pmod(F.xxhash64("c"), F.lit(max(1, (size.agg(F.sum("n")).first()[0] or 0) // 4096)))
+    deal = F.when(F.col("nb") == 1, -1 - small).otherwise(F.col("c"))
+    links = dealt.select(deal.alias("deal"), "c", "block", "ti", "tj", "cid", "mult", "item").groupBy("deal", "ti", "tj").applyInArrow(_count(threshold), "cid long, n long")
+    links = materialize(links.groupBy("cid").agg(F.sum("n").alias("n")), "links")
+    discard(sets)
+
+    known = classes.join(links, "cid", "left").join(near, "cid", "left")
+    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("c", "cid").alias("group"))
+    out = rows.select("rid", "doc_id", "key").join(known, "key", "left")
+    out = materialize(out.select("rid", "doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "rid").alias("group")), "classed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("i"), "doc_id", "rid")).alias("k")
+    keep = out.groupBy("group").agg(first).select("group", F.col("k.rid").alias("kr"), F.col("k.doc_id").alias("class_id"))
+    return out.join(keep, "group").select("rid", "doc_id", "class_id", "n_links", (F.col("rid") == F.col("kr")).alias("kept"))
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
     """(doc_id, class_id, n_links, kept), a row a row of ``docs``.
 
     Links join texts whose shingle sets have a Jaccard similarity of ``threshold`` or more; class_id
-    is the smallest doc_id reachable by links and n_links the number of rows linked directly, copies
-    included.  Null texts and texts without words link with nothing.  Shorter texts than
-    5 words have one shingle.  kept: the row has the smallest doc_id (of equal ones all are kept).
-    Row ids are given when the signatures are written, so repeated doc_ids do no harm.
-    Sets are compared by 64-bit shingle hashes.
+    is the smallest doc_id reachable by links (null if all are null) and n_links the number of rows
+    linked directly, copies included.  Null texts and texts without words link with nothing.  Texts of
+    fewer than 5 words have one shingle; long ones are compared whole.  kept: true for one row of each
+    class, the first by doc_id, null last; of rows of equal doc_id just one.  Rows are told apart
+    by an id of their own, so repeated and null doc_ids do no harm.  Sets are compared by 64-bit hashes.
     """
-    rows = materialize(_signatures(docs), "signatures")
-    classes = materialize(rows.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), F.count("*").alias("mult")), "classes")
-    reps = classes.join(rows.select(F.col("rid").alias("cid"), "doc_id", "labels"), "cid")
-    d = prefix_length(threshold, recall)
-    prefixes = materialize(reps.select("cid", F.posexplode("labels").alias("tree", "label")).select("cid", "tree", F.shiftrightunsigned("label", 64 - 8 * d).alias("prefix")), "prefixes")
-    hubs = prefixes.groupBy("tree", "prefix").agg(F.min("cid").alias("hub"), F.max("cid").alias("last")).where("hub < last")
-    clusters = connected_components(prefixes.join(hubs, ["tree", "prefix"]).select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-
-    size = clusters.groupBy("component").agg(F.count("*").alias("_n"))
-    member = clusters.select(F.col("node").alias("cid"), "component").join(classes, "cid").join(rows.select(F.col("rid").alias("cid"), F.col("doc_id").alias("_d")), "cid")
-    member = member.select(F.coalesce("_d", F.lit(-1)).alias("_d"), "key", "cid", "mult", "component")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_d"), F.col("text").cast("string").alias("text")).join(member, "_d")
-    sets = materialize(_sets(texts), "sets").dropDuplicates(["cid"])
-    small = F.pmod(F.xxhash64("component"), F.lit(1 << 16))
-    dealt = sets.join(size, "component").withColumn("nb", F.ceil(F.col("_n") / tile).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("component", "cid", "mult", "set", "block", F.least("block", "other").alias("ti"), F.greatest("block", "other").alias("tj"), F.when(F.col("nb") == 1, -1 - F.pmod(small, F.lit(_deals(rows)))).otherwise(F.col("component")).alias("deal"))
-    found = materialize(dealt.groupBy("deal", "ti", "tj").applyInArrow(_verify(threshold), "a long, b long, n long"), "links")
-    links = found.where("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
-    linked = connected_components(found.where("b >= 0"))
-
-    known = classes.join(links, "cid", "left").join(linked.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    known = known.select("key", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("group"))
-    out = rows.select("rid", "doc_id", "key").join(known, "key", "left")
-    out = materialize(out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "rid").alias("group")), "classed")
-    least = out.groupBy("group").agg(F.min("doc_id").alias("class_id"))
-    return out.join(least, "group").select("doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+    return _jaccard(numbered, threshold, recall, tile).drop("rid")
 
 
 def one_of_each_class(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their class, with all their columns."""
-    gone = materialize(jaccard_classes(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized_broadcast(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One row of each class, the one ``jaccard_classes`` keeps, with all its columns.
 
-
-def _deals(rows: DataFrame) -> int:
-    """Into how many groups small clusters are dealt: a group has at most a few thousand texts."""
-    return max(1, min(1 << 16, rows.count() // 4096))
+    Rows go by an id given when they are written: a row never goes for another's sake that has its
+    doc_id, and columns of any name do no harm.
+    """
+    rows = with_rid(docs)
+    gone = materialize(_jaccard(rows.select("rid", "row.doc_id", "row.text"), THRESHOLD, RECALL, TILE).where("not kept").select("rid"), "gone")
+    return rows.join(sized_broadcast(gone), "rid", "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
