@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     This cuts lineage: what was computed is read again after an executor is lost, and values that
@@ -49,7 +49,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagefinder/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _stored[out] = path
     return out

@@ -23,16 +23,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_cache, slices, utf8, words
+from .common import discard, materialize, only_cache, slices, utf8, words
 
 WINDOW_WORDS = 10
 SHINGLE_WORDS = 3
-#: Bytes of item texts in a block.  It also keeps word ids below 2**21, so that three fit one integer.
+#: Bytes of item texts in a block; a longer item has one of its own.
 BLOCK_BYTES = 4_000_000
 #: Candidate positions verified at once.
 CHUNK = 200_000
 
 
+#: A shingle's code is a 64-bit hash of its word ids; occurrences are verified word by word.
+BASE, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _code(ids):
+    """Of integers, or of arrays of uint64, which wrap round."""
+    base = BASE if isinstance(ids[0], int) else np.uint64(BASE)
+    out = ids[0]
+    for x in ids[1:]:
+        out = out * base + x
+    return out * base + type(base)(len(ids))
+
+
 @dataclass
 class Block:
     """Windows of some items, and the index of their shingles."""
@@ -54,8 +67,6 @@ class Block:
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
             for i in range(max(1, len(ids) - window_words + 1) if ids else 0):
                 seen.setdefault(tuple(ids[i : i + window_words]), set()).add(item)
-        if len(vocabulary) >= 1 << 21:
-            raise ValueError("a block holds too many distinct words")
         windows = np.zeros((len(seen), window_words), dtype=np.int64)
         lengths = np.zeros(len(seen), dtype=np.int64)
         owner, offset, code = [], [], []
@@ -65,8 +76,8 @@ class Block:
             for i in range(len(w) - size + 1):
                 owner.append(k)
                 offset.append(i)
-                code.append(sum(x << 21 * (SHINGLE_WORDS - 1 - j) for j, x in enumerate(w[i : i + size])))
-        codes, at = np.unique(np.array(code, dtype=np.int64), return_inverse=True)
+                code.append(_code(w[i : i + size]) & MASK)
+        codes, at = np.unique(np.array(code, dtype=np.uint64), return_inverse=True)
         return cls(vocabulary, windows, lengths, [sorted(x) for x in seen.values()], codes, np.array(owner, dtype=np.int64), np.array(offset, dtype=np.int64), at.astype(np.int64))
 
     def prefixes(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +108,7 @@ class Block:
                 here = here[a[here + size - 1] > 0]
             if size < SHINGLE_WORDS and not (self.lengths == size).any():
                 continue
-            code = np.zeros(len(here), dtype=np.int64)
-            for j in range(size):
-                code |= a[here + j] << 21 * (SHINGLE_WORDS - 1 - j)
+            code = _code([a[here + j].astype(np.uint64) for j in range(size)])
             at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
             hit = self.codes[at] == code if len(self.codes) else np.zeros(len(here), bool)
             position.append(here[hit])
@@ -155,9 +164,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window_words: int = WIN
         rows = sorted((r.item, r.text.encode()) for r in part.toLocalIterator())
         block = spark.sparkContext.broadcast(Block.build(rows, window_words))
         prefix = spark.sparkContext.broadcast(block.value.prefixes(_frequency(docs, block)))
-        now = now.mapInArrow(_joiner(block, prefix), now.schema)
+        before, now = now, now.mapInArrow(_joiner(block, prefix), now.schema)
         if k + 1 < n_blocks:
             now = materialize(now, "decontaminate")
+            discard(before)
     return now
 
 

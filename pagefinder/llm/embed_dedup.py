@@ -45,21 +45,23 @@ def bits_for(n: int, block: int = BLOCK) -> int:
     return max(0, math.floor(math.log2(max(1, n) / block)))
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """Directions, in double precision; by the largest component first, so that no square over- or underflows."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype("<f8")
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _prepare(vectors: DataFrame) -> DataFrame:
-    """Row ids, and for vectors that can link their direction (doubles) and a key of their values."""
+def _prepare(vectors: DataFrame, kind: str) -> DataFrame:
+    """Row ids, and for vectors that can link their values, in the precision they come in, and a key of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             for v in batch.column(1).to_pylist():
-                x = np.array([], "<f8") if v is None or any(c is None for c in v) else np.array(v, "<f8")
-                fine = len(x) > 0 and np.isfinite(x).all() and 0 < np.linalg.norm(x) < np.inf
+                x = np.array([], kind) if v is None or any(c is None for c in v) else np.array(v, kind) + 0  # -0 is 0
+                fine = len(x) > 0 and np.isfinite(x).all() and x.any()
                 rows.append(x.tobytes() if fine else None)
             n = len(rows)
             columns = [pa.array(np.arange(made, made + n) + (task << 33)), batch.column(0), pa.array([None if r is None else xxhash.xxh3_128_digest(r) for r in rows], pa.binary()), pa.array(rows, pa.binary())]
@@ -69,7 +71,7 @@ def _prepare(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "rid long, vec_id long, key binary, vec binary")
 
 
-def _codes(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
+def _codes(classes: DataFrame, passes: int, bits: int, seed: int, kind: str) -> DataFrame:
     """A row a pass and class: (pass, code, cid, vec)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +81,7 @@ def _codes(classes: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
             vecs = batch.column(1).to_pylist()
             for size in sorted({len(v) for v in vecs}):
                 own = [i for i, v in enumerate(vecs) if len(v) == size]
-                x = _unit([vecs[i] for i in own])
+                x = _unit([vecs[i] for i in own], kind)
                 if size not in planes:
                     planes[size] = [np.random.default_rng([seed, p]).standard_normal((x.shape[1], bits)) for p in range(passes)]
                 part = batch.take(pa.array(own))
@@ -97,13 +99,13 @@ def _tiles(rows: DataFrame, bucket: list[str], size: DataFrame, side: int) -> Da
     return tile.withColumn("ti", F.least("block", "other")).withColumn("tj", F.greatest("block", "other"))
 
 
-def _near(threshold: float, block: int):
+def _near(threshold: float, block: int, kind: str):
     """Links that connect all that the links between the two blocks of a tile connect."""
 
     def run(table: pa.Table) -> pa.Table:
         cid, at = table.column("cid").to_numpy(), table.column("block").to_numpy()
         i, j = table.column("ti")[0].as_py(), table.column("tj")[0].as_py()
-        x = _unit(table.column("vec").to_pylist())
+        x = _unit(table.column("vec").to_pylist(), kind)
         left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
         label = np.arange(len(cid))
         other = x[right]
@@ -123,7 +125,7 @@ def _near(threshold: float, block: int):
     return run
 
 
-def _count(threshold: float):
+def _count(threshold: float, kind: str):
     """Links of each member with members of its component, between the two blocks of a tile."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -133,7 +135,7 @@ def _count(threshold: float):
         out_id, out_n = [], []
         order = np.argsort(comp, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
-            x = _unit([vecs[k] for k in own])
+            x = _unit([vecs[k] for k in own], kind)
             left, right = own[block[own] == i[own]], own[block[own] == j[own]]
             a, b = x[block[own] == i[own]], x[block[own] == j[own]]
             hit = a @ b.T >= threshold
@@ -158,7 +160,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     equal vec_id are compared like any others.  component_id is the smallest vec_id of the component.
     """
     spark = vectors.sparkSession
-    rows = materialize(_prepare(vectors), "vectors")
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    rows = materialize(_prepare(vectors, kind), "vectors")
     sizes = rows.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), F.count("*").alias("mult"))
     sizes = materialize(sizes, "classes")
     reps = materialize(sizes.join(rows.select(F.col("rid").alias("cid"), "vec"), "cid").select("cid", "mult", "vec"), "representatives")
@@ -166,17 +169,17 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     bits = bits_for(n, block)
     passes = passes_for(n, threshold, block, recall) if bits else 1
     bucket = ["pass", "code", "dim"]
-    codes = _codes(reps, passes, bits, seed).withColumn("dim", F.length("vec"))
-    size = _codes(reps, passes, bits, seed).withColumn("dim", F.length("vec")).groupBy(bucket).agg(F.count("*").alias("_n")).where("_n > 1")
+    codes = _codes(reps, passes, bits, seed, kind).withColumn("dim", F.length("vec"))
+    size = _codes(reps, passes, bits, seed, kind).withColumn("dim", F.length("vec")).groupBy(bucket).agg(F.count("*").alias("_n")).where("_n > 1")
     near = _tiles(codes, bucket, materialize(size, "buckets"), SIDE * block).select(*bucket, "ti", "tj", "block", "cid", "vec")
-    components = connected_components(near.groupBy(*bucket, "ti", "tj").applyInArrow(_near(threshold, block), "a long, b long"))
+    components = connected_components(near.groupBy(*bucket, "ti", "tj").applyInArrow(_near(threshold, block, kind), "a long, b long"))
 
     size = components.groupBy("component").agg(F.count("*").alias("_n"))
     member = components.join(reps.withColumnRenamed("cid", "node"), "node").select("component", F.col("node").alias("cid"), "mult", "vec")
     tile = _tiles(member, ["component"], size, block)
     small = F.pmod(F.xxhash64("component"), F.lit(max(1, n // 4096)))
     tile = tile.withColumn("deal", F.when(F.col("nb") == 1, -1 - small).otherwise(F.col("component")))
-    links = tile.select("deal", "component", "ti", "tj", "block", "cid", "mult", "vec").groupBy("deal", "ti", "tj").applyInArrow(_count(threshold), "cid long, n long")
+    links = tile.select("deal", "component", "ti", "tj", "block", "cid", "mult", "vec").groupBy("deal", "ti", "tj").applyInArrow(_count(threshold, kind), "cid long, n long")
     links = links.groupBy("cid").agg(F.sum("n").alias("n"))
 
     known = sizes.join(links, "cid", "left").join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")

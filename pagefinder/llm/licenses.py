@@ -55,6 +55,16 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org>"""
+
 #: Known whole texts: (licence id, text).  Fixed values: public licence texts and one-line notices.
 KNOWN = [
     ("MIT", _MIT),
@@ -68,6 +78,7 @@ KNOWN = [
     ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_END),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_END),
     ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_NAMES + _BSD_END),
+    ("Unlicense", _UNLICENSE),
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
     ("Apache-2.0", _APACHE),
@@ -77,6 +88,24 @@ KNOWN = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
 ]
 
+#: Digests of the canonical form of long licences, each of its whole published text (as in /usr/share/common-licenses).
+#: Fixed values.  Others come as a table of the caller's (``scan_licenses(known=...)``).
+DIGESTS = [
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, equal spellings, words and digits only, single blanks; null: empty."""
@@ -89,7 +118,8 @@ def canonical(text: Column) -> Column:
 
 def known_digests(spark) -> DataFrame:
     """The built-in licences as (digest, license_id)."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").distinct()
+    texts = spark.createDataFrame(KNOWN, "license_id string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
+    return texts.distinct().unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -127,7 +157,9 @@ ORACLE_SQL = (
     + _sql_canonical("text")
     + ") AS digest, min(license_id) AS license_id FROM (VALUES "
     + ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
-    + ") v(license_id, text) GROUP BY 1), d AS (SELECT doc_id, sha256("
+    + ") v(license_id, text) GROUP BY 1 UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"('{d}', '{i}')" for i, d in DIGESTS)
+    + ") w(digest, license_id)), d AS (SELECT doc_id, sha256("
     + _sql_canonical("text")
     + ") AS canonical_sha256 FROM documents) SELECT doc_id, canonical_sha256, license_id, license_id IS NOT NULL AS is_license FROM d LEFT JOIN known ON digest = canonical_sha256 AND digest <> sha256('')"
 )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions, with_rid
 
 SHARDS = 24
 BITS = 5
@@ -68,13 +68,13 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
 def metadata_dims(bits: int = BITS) -> list[Column]:
     """Three dimensions: size on a logarithmic scale, source and language by hash; null is a value of its own."""
     top = (1 << bits) - 1
-    size = F.least(F.floor(F.log2(F.col("size").cast("double")) * F.lit(top / 32.0) * 2), F.lit(top)).cast("int")
+    size = F.least(F.floor(F.log2(F.col("size").cast("double")) * F.lit(top / 31.0)), F.lit(top)).cast("int")  # up to 2 GB, the longest a value can be
     code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00null"))), F.lit(top + 1)).cast("int")
     return [size, code("source"), code("lang")]
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, curve (index), rank (place on the curve), shard, slot: a row a row.
+    """A row a row: doc_id, size, text_crc32, curve (index), rank (place on the curve), shard, slot.
 
     Law ``rows``: row r of n along the curve goes to shard r * shards / n, so counts differ by one at
     most.  Ties on the curve are put in order of text_crc32 and doc_id, which keeps equal texts with equal
@@ -82,9 +82,14 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> Da
     a null doc_id comes first.  Any number of equal rows is fine: the order is total up to equal rows,
     and a hot value is cut between range partitions at the next key.
     """
+    return _assign(docs.select(F.lit(0).cast("long").alias("rid"), "doc_id", "text", "source", "lang"), shards, bits).drop("rid")
+
+
+def _assign(docs: DataFrame, shards: int, bits: int) -> DataFrame:
+    """``assign_shards`` for rows under a ``rid`` each, which it carries along."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("lang"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.select("doc_id", "size", "text_crc32", hilbert_index(metadata_dims(bits), bits).alias("curve"))
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), F.col("lang"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = rows.select("rid", "doc_id", "size", "text_crc32", hilbert_index(metadata_dims(bits), bits).alias("curve"))
     order = ["curve", "text_crc32", "doc_id", "size"]
     ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).withColumn("_p", F.spark_partition_id())
     ranged = materialize(ranged, "curve")  # fixes which partition each row is in
@@ -92,14 +97,25 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> Da
     before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(before), "_p")
     ranked = ranked.withColumn("rank", F.col("_r") + F.col("_before")).withColumn("shard", F.expr(f"cast(rank * {shards} div _all as int)"))
-    return ranked.select("doc_id", "size", "text_crc32", "curve", "rank", "shard", F.expr(f"rank - (shard * _all + {shards - 1}) div {shards}").alias("slot"))
+    return ranked.select("rid", "doc_id", "size", "text_crc32", "curve", "rank", "shard", F.expr(f"rank - (shard * _all + {shards - 1}) div {shards}").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes all columns of the documents, one folder a shard, rows in slot order for file pruning."""
-    where = assign_shards(docs, shards).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    out = docs.drop("shard", "slot").join(where, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
-    out.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> str:
+    """Writes every row and column of the documents, one folder a shard, rows in slot order for file pruning.
+
+    Returns the name of the folders' column: ``shard``, or if the documents have a column of that name, ``shard_``
+    (and so on).  Rows are joined with their shards by an id given when they are first written, so repeated and
+    null doc_ids, equal rows and null texts stay as many as they were.
+    """
+    rows = with_rid(docs)
+    where = materialize(_assign(rows.select("rid", "row.doc_id", "row.text", "row.source", "row.lang"), shards, bits).select("rid", "shard", "slot"), "slots")
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    out = rows.join(where, "rid").repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot")
+    out.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    discard(rows, where)
+    return name
 
 
 def query(spark, sf_dir: str) -> DataFrame:

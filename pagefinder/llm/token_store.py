@@ -118,11 +118,14 @@ def write(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, segme
     The table of segments (schema ``SEGMENTS``) is written by Spark's committed writer into the
     shared folder, so lost executors and retried tasks leave no half-written file.  Documents are
     range-partitioned by doc_id and streamed in order; a segment is all that a task holds.
-    A null doc_id comes first; rows of equal doc_id stand next to each other.  Null text: empty.
+    A null doc_id comes first; rows of equal doc_id stand next to each other, however many.  Null text: empty.
+    Payloads are stored as they are, uncompressed, so that ``token`` reads a segment without decoding a block.
     """
     spark = docs.sparkSession
     key = F.col("doc_id").cast("long").alias("doc_id")
-    ordered = docs.select(key, F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", "digest"]  # equal ids, null ones say, spread over partitions too
+    ordered = docs.select(key, F.col("text").cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_cache("pieces")
@@ -153,7 +156,23 @@ def write(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, segme
 
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return materialize(ordered.mapInArrow(run, SEGMENTS), "tokens")
+    return materialize(ordered.mapInArrow(run, SEGMENTS), "tokens", "none")
+
+
+def token(segments: DataFrame, position: int) -> int:
+    """The id at a place of the whole store, counted from 0: one segment is fetched, and one id read in it."""
+    rest = position
+    for part, n in _totals(segments) if position >= 0 else []:
+        if rest < n:
+            row = segments.where((F.col("part") == part) & (F.col("part_start") <= rest) & (F.col("part_start") + F.col("n_ids") > rest)).select("part_start", "payload").first()
+            return Segment(row.payload)[rest - row.part_start]
+        rest -= n
+    raise IndexError(position)
+
+
+def _totals(segments: DataFrame) -> list[tuple[int, int]]:
+    """Ids of each part, a row a partition, in order."""
+    return sorted((r.part, r.n) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
 
 
 def read(segments: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -163,9 +182,8 @@ def read(segments: DataFrame, with_ids: bool = True) -> DataFrame:
     Only the id total of each part, a row a partition, comes to the driver.
     """
     spark = segments.sparkSession
-    totals = sorted((r.part, r.n) for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     offsets, total = {}, 0
-    for part, n in totals:
+    for part, n in _totals(segments):
         offsets[part], total = total, total + n
     shared = spark.sparkContext.broadcast(offsets)
 

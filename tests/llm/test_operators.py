@@ -1,5 +1,6 @@
 """Each operator against brute force or an exact round trip, with awkward rows."""
 
+import pathlib
 import random
 import zlib
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagefinder.llm import bpe, components, decontaminate, embed_dedup, jaccard_join, licenses, line_dedup, lm_score, packing, quality, sharding, token_store
+from pagefinder.llm import bpe, components, decontaminate, embed_dedup, jaccard_join, licenses, line_dedup, lm_score, packing, quality, sharding, token_store, verify
 from pagefinder.llm.common import bucket5
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, h long"
@@ -280,6 +281,226 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).where("is_license").count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_every_license(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3"}
+    texts = [(i, "Copyright (c) 2021 A. Holder\n" + t.upper()) for i, t in licenses.KNOWN]
+    texts += [(i, (folder / f).read_text()) for i, f in files.items() if (folder / f).exists()]
+    rows = [(k, t) for k, (_, t) in enumerate(texts)] + [(100 + k, t + " more") for k, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [i for i, _ in texts] and all(got[100 + k] is None for k in range(len(texts)))
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, _gone string, _d long, _id long, shard int, slot long, rid long, row string, h long, bands string, key string, cid long, label string"
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Repeated and null ids, equal rows, and columns named as operators might name their own."""
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    texts = [(1, f"{line(1)}\n{line(2)}"), (5, f"{line(1)}\n{line(3)}"), (5, f"{line(4)}\n{line(5)}"), (6, f"{line(6)}\n{line(7)}"), (6, f"{line(6)}\n{line(7)}"), (None, line(8)), (None, line(8)), (None, line(9)), (3, f"{line(4)}\n{line(5)}"), (7, None), (7, "")]
+    rows = [(d, t, "en", "s", None if t is None else len(t), "a", 1, 2, 3, 4, 5, "b", 6, "c", "d", 7, "e") for d, t in texts]
+    return spark.createDataFrame(rows, AWKWARD).repartition(2).cache()
+
+
+def test_rows_of_equal_id(spark, awkward, tmp_path):
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    lines = line_dedup.line_classes(awkward).collect()
+    assert len(lines) == 15 and sum(r.kept for r in lines) == 9  # of nine different lines one each
+    after = line_dedup.without_repeated_lines(awkward)
+    assert after.columns == awkward.columns and {r._gone for r in after.collect()} == {"a"}
+    texts = [(r.doc_id, r.text) for r in after.collect()]
+    left = [x for _, t in texts for x in (t or "").split("\n") if x]
+    assert sorted(left) == sorted(map(line, range(1, 10))) and len(texts) == 11 and (7, None) in texts and (7, "") in texts
+    kept = jaccard_join.one_of_each_class(awkward)
+    want = [(1, f"{line(1)}\n{line(2)}"), (5, f"{line(1)}\n{line(3)}"), (3, f"{line(4)}\n{line(5)}"), (6, f"{line(6)}\n{line(7)}"), (None, line(8)), (None, line(9)), (7, None), (7, "")]
+    assert kept.columns == awkward.columns and sorted(map(str, want)) == sorted(str((r.doc_id, r.text)) for r in kept.collect())
+    classes = jaccard_join.jaccard_classes(awkward).collect()
+    assert len(classes) == 11 and sum(r.kept for r in classes) == 8 and sorted(r.n_links for r in classes) == [0] * 5 + [1] * 6
+    name = sharding.write_shards(awkward, str(tmp_path / "s"), 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert name == "shard_" and set(back.columns) == {*awkward.columns, "shard_"}
+    assert sorted(map(str, back.select(awkward.columns).collect())) == sorted(map(str, awkward.collect()))
+    counts = [r["count"] for r in sharding.assign_shards(awkward, 4).groupBy("shard").count().collect()]
+    assert sum(counts) == 11 and max(counts) - min(counts) <= 1
+
+
+def test_awkward_rows_elsewhere(spark, awkward):
+    n = awkward.count()
+    bench = spark.createDataFrame([(1, "w4x0 w4x1"), (1, "w4x0 w4x1")], "item_id long, text string")
+    hit = decontaminate.decontaminate(awkward, bench)
+    assert hit.count() == n and hit.where("n_hit = 2").count() == 2 and decontaminate.without_hits(awkward, bench).columns == awkward.columns
+    store = token_store.write(awkward, segment_ids=40)
+    ids = [t for r in token_store.read(store).orderBy("start").collect() for t in np.frombuffer(bytes(r.ids), "<u4").tolist()]
+    assert [token_store.token(store, k) for k in (0, 1, len(ids) // 2, len(ids) - 1)] == [ids[k] for k in (0, 1, len(ids) // 2, len(ids) - 1)]
+    for k in (-1, len(ids)):
+        with pytest.raises(IndexError):
+            token_store.token(store, k)
+    assert token_store.read(store).count() == n and packing.pack(awkward).count() == n
+    scored = lm_score.score(awkward).collect()
+    assert len(scored) == n and len({r.score for r in scored if r.doc_id == 6}) == 1 and {r.n_tokens for r in scored if r.doc_id == 7} == {1}
+    model = quality.train(awkward, spark.createDataFrame([(5, 1), (5, 1), (6, 0), (None, 1)], "doc_id long, quality int"))
+    assert quality.classify(awkward, model).count() == n and quality.keep_good(awkward, model).columns == awkward.columns
+    assert licenses.scan_licenses(awkward).count() == n
+
+
+def test_wide_benchmark_item(spark):
+    """An item with more words than a block is meant to hold, and one block for each item."""
+    item = " ".join(f"w{i}" for i in range(3000))
+    docs = [(1, "x " + " ".join(f"w{i}" for i in range(2000, 2012)) + " y"), (2, "nothing here")]
+    some = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "nothing at all")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.decontaminate(some, bench, block_bytes=9000).collect()}
+    assert got == {1: (14, 12, ["1"]), 2: (2, 0, [])}
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_lm_orders(spark, order):
+    rows = corpus(n=12)[:20]
+    want = lm_score.brute_force(rows, order, 2.0)
+    for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), bucket5() != 1, order, 2.0, 300).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], rel=1e-9)
+
+
+def test_chain_of_unlike_texts(spark):
+    """Candidates that are no links don't chain: each text shares words with the next, at a similarity below the threshold."""
+    words_ = [f"v{i}" for i in range(2000)]
+    chain = [" ".join(words_[20 * k : 20 * k + 60]) for k in range(80)]
+    rows = list(enumerate(chain + [chain[3] + " end"]))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == jaccard_join.brute_force(rows) and got[80] == (3, 1) and got[4] == (4, 0)
+
+
+def test_large_bands(spark, monkeypatch):
+    """Bands settled in tiles give what pairs give."""
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefghij ", k=150))
+    rows = []
+    for k in range(120):
+        t = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 8)):
+            t[at] = "z"
+        rows.append((k, "".join(t)))
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    want = line_dedup.brute_force(rows)
+    by_pairs = {(r.doc_id, r.line_no) for r in line_dedup.line_classes(some).where("kept").collect()}
+    monkeypatch.setattr(line_dedup, "PAIRWISE", 2)
+    monkeypatch.setattr(line_dedup, "LEFT_CHARS", 900)
+    monkeypatch.setattr(line_dedup, "RIGHT_CHARS", 2000)
+    in_tiles = {(r.doc_id, r.line_no) for r in line_dedup.line_classes(some).where("kept").collect()}
+    assert in_tiles == by_pairs >= want and len(by_pairs) <= len(want) + 3  # a pair just at the threshold may share no band
+
+
+def test_extreme_vectors(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e300, 1e300]), (4, [1e308, 1e308]), (5, [-0.0, 1.0]), (6, [0.0, 1.0]), (6, [0.0, 1.0]), (None, [0.0, -1.0])]
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [("1", 1, "1"), ("2", 1, "1"), ("3", 1, "3"), ("4", 1, "3"), ("5", 2, "5"), ("6", 2, "5"), ("6", 2, "5"), ("None", 0, "None")]
+    assert embed_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_planted_vectors(spark):
+    """Recall at the default block: pairs just above the threshold among many random vectors."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((1000, 48))
+    noise -= (noise * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    twins = 0.905 * x[:1000] + np.sqrt(1 - 0.905**2) * noise
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.concatenate([x, twins]))]
+    got = {r.vec_id: r.component_id for r in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[6000 + i] == got[i] for i in range(1000)) >= 980
+
+
+def test_quality_gradient():
+    """Weights solve the pairwise logistic loss: its gradient vanishes there."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, quality.N_FEATURES))
+    good = (x[:, 0] + 0.5 * x[:, 1] + rng.standard_normal(300) > 0).astype(int)
+    m = quality.PairwiseRanker().fit(x, good, pairs=4000)
+    z = np.clip((x - m.mean) / m.scale, -8, 8)
+    r = np.random.default_rng(m.seed)
+    above, below = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+    d = z[r.choice(above, 4000)] - z[r.choice(below, 4000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + m.ridge / 2 * w @ w
+    assert all(loss(m.weights) <= loss(m.weights + 0.01 * e) for e in (*np.eye(len(m.weights)), *-np.eye(len(m.weights))))
+    assert m.threshold == pytest.approx(np.quantile(m.raw(x), (good == 0).mean(), method="midpoint"))
+
+
+@pytest.mark.skipif(not pathlib.Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = quality.query(spark, sf).where("held_out").join(labels, "doc_id").where("quality is not null").toPandas()
+    good, bad = rows.score[rows.quality == 1].to_numpy(), rows.score[rows.quality == 0].to_numpy()
+    auc = (good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2
+    assert len(good) and len(bad) and auc >= 0.95 and (rows.predicted == rows.quality).mean() >= 0.9
+
+
+def kept_by_tiles(rows):
+    """What ``line_dedup.brute_force`` gives, all pairs of lines compared by matrix products."""
+    place = {}
+    for d, t in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            if x := x.replace("\r", " ").strip(" ").lower():
+                place.setdefault(x, []).append((d, k))
+    names, number = sorted(place, key=len), {}
+    edge = "\n" * (line_dedup.SHINGLE - 1)
+    grams = lambda p: {p[i : i + line_dedup.SHINGLE] for i in range(len(p) - line_dedup.SHINGLE + 1)}
+    sets = [np.array([number.setdefault(g, len(number)) for g in grams(edge + x + edge)]) for x in names]
+    size, root, step = np.array([len(s) for s in sets], float), list(range(len(sets))), 700
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(0, len(sets), step):
+        for j in range(i, len(sets), step):
+            a, b = np.arange(i, min(i + step, len(sets))), np.arange(j, min(j + step, len(sets)))
+            if min(size[b]) * 0.8 > max(size[a]):
+                continue
+            shared = verify.overlaps([sets[k] for k in (*a, *b)], np.arange(len(a)), len(a) + np.arange(len(b))).astype(float)
+            for x, y in zip(*np.nonzero(shared >= 0.8 * (size[a][:, None] + size[b][None] - shared)), strict=True):
+                root[max(find(a[x]), find(b[y]))] = min(find(a[x]), find(b[y]))
+    groups = {}
+    for k, x in enumerate(names):
+        groups.setdefault(find(k), []).extend(place[x])
+    return {min(g) for g in groups.values()}
+
+
+@pytest.mark.skipif(not pathlib.Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_recall_on_documents(spark):
+    """Against all pairs of the table's own lines and texts: recall, and no false merge."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    lines = {(r.doc_id, r.line_no) for r in line_dedup.line_classes(docs).where("not kept").collect()}
+    every = {(d, k) for d, t in rows for k, x in enumerate((t or "").split("\n")) if x.replace("\r", " ").strip(" ")}
+    gone = every - kept_by_tiles(rows)
+    assert not lines - gone and len(lines) >= 0.97 * len(gone)
+    near = jaccard_join.brute_force(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_classes(docs).collect()}
+    found, real = sum(n for _, n in got.values()), sum(n for _, n in near.values())
+    assert all(got[d][1] <= near[d][1] for d in near) and found >= 0.97 * real
+
+
+def test_shared_folder_is_asked_for():
+    from pagefinder.llm.common import shared_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 
