@@ -1,7 +1,8 @@
 """Named queries over the driver's tables, and the same in SQL.
 
-``documents`` stand for blocks: file = source, page = place in the source by doc_id.  They hold no headings,
-garble or scans, so queries on those rules derive them from doc_id alike in both engines.
+``documents`` stand for blocks: file = source, page = place in the source by doc_id; every query reads all
+rows and whole texts.  What documents have no column for (producers, images, times of change) is derived
+from doc_id alike in both engines; short, garbled and scanned cases are in the tests' fixtures.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as blocks; every fifth is a scan, and every tenth a scan without text."""
+    """Documents as blocks with their texts; every fifth is a scan."""
     page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    text = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text"))
+    text = F.coalesce("text", F.lit(""))
     d = documents(spark, sf_dir)
     return d.select(F.col("source").alias("file"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), page.alias("page"), F.lit(NO_CHAPTER).alias("chapter"), text.alias("text"), (F.col("doc_id") % 5 == 0).alias("scanned"), F.col("doc_id").alias("block_ord"))
 
@@ -60,8 +61,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_LINES = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 lines AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN '第' || (pos + 1) || '章 ' || substring(line, 1, 30) ELSE line END AS text FROM l0)"""
-SQL_BLOCKS = f"""blocks AS (SELECT source AS file, source || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, '{NO_CHAPTER}' AS chapter,
-CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS text, doc_id % 5 = 0 AS scanned, doc_id AS block_ord FROM documents)"""
+SQL_BLOCKS = f"""blocks AS (SELECT source AS file, source || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, '{NO_CHAPTER}' AS chapter, coalesce(text, '') AS text, doc_id % 5 = 0 AS scanned, doc_id AS block_ord FROM documents)"""
 _blank, _numeral = r"[\s\x1c-\x1f]", "[一二三四五六七八九十百千零0-9]"
 
 
@@ -119,29 +119,25 @@ def format_union(spark, sf_dir):
 # --- page and file classes ---
 
 
-@query(rf"""WITH p AS (SELECT source AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_idx, substring(text, 1, CAST(doc_id * 7 % 120 AS INT)) AS raw_text, doc_id % 4 = 0 AS img,
+@query(rf"""WITH p AS (SELECT source AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_idx, text AS raw_text, doc_id % 4 = 0 AS img,
 CASE source WHEN 'src3' THEN 'ScanSnap Manager' ELSE 'Writer' END AS producer FROM documents),
 f AS (SELECT path, max(lower(producer)) AS producer, coalesce(bool_or(page_idx < 3 AND length({sql_strip("raw_text")}) >= 50), false) AS t, coalesce(bool_or(page_idx < 3 AND img), false) AS i FROM p GROUP BY path)
 SELECT path, CASE WHEN contains(producer, 'scan') OR (i AND NOT t) THEN 'scanned' WHEN i AND t THEN 'mixed' ELSE 'digital' END AS pdf_class FROM f""")
 def pdf_classify(spark, sf_dir):
     page = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    cut = F.substring(F.col("text"), F.lit(1), (F.col("doc_id") * 7 % 120).cast("int"))
     maker = F.when(F.col("source") == "src3", "ScanSnap Manager").otherwise("Writer")
-    return B.pdf_classes(documents(spark, sf_dir).select(F.col("source").alias("path"), page.alias("page_idx"), cut.alias("raw_text"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("n_images"), maker.alias("producer")))
+    return B.pdf_classes(documents(spark, sf_dir).select(F.col("source").alias("path"), page.alias("page_idx"), F.col("text").alias("raw_text"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("n_images"), maker.alias("producer")))
 
 
-@query(f"""WITH p AS (SELECT doc_id, {sql_strip("substring(text, 1, CAST(doc_id * 13 % 600 AS INT))")} AS t FROM documents)
+@query(f"""WITH p AS (SELECT doc_id, {sql_strip("text")} AS t FROM documents)
 SELECT doc_id, length(t) < 10 OR (length(t) < 400 AND doc_id % 2 = 1) OR {sql_garbled("t")} AS scanned FROM p""")
 def page_scan_class(spark, sf_dir):
-    t = T.strip(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") * 13 % 600).cast("int")))
-    return documents(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", B.is_scanned_page(F.col("t"), F.col("doc_id") % 2 == 0).alias("scanned"))
+    return documents(spark, sf_dir).select("doc_id", T.strip(F.col("text")).alias("t")).select("doc_id", B.is_scanned_page(F.col("t"), F.col("doc_id") % 2 == 0).alias("scanned"))
 
 
-@query(rf"""WITH p AS (SELECT doc_id, substring(text, 1, 30) || repeat('§', CAST(doc_id % 200 AS INT)) AS t FROM documents)
-SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, {sql_garbled("t")} AS garbled FROM p""")
+@query(rf"""SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, {sql_garbled("text")} AS garbled FROM documents""")
 def garbled_ratio(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 30), F.expr("repeat('§', cast(doc_id % 200 as int))"))
-    return documents(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), T.is_garbled(F.col("t")).alias("garbled"))
+    return documents(spark, sf_dir).select("doc_id", F.length("text").cast("long").alias("n_chars"), T.is_garbled(F.col("text")).alias("garbled"))
 
 
 # --- chapters ---
@@ -167,9 +163,9 @@ def section_fold(spark, sf_dir):
     return B.fold_sections(rows, "doc_id").select("doc_id", F.col("section").cast("long").alias("section"), "chapter", "text")
 
 
-@query(f"WITH {SQL_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, coalesce({sql_chapter('text')}, 'carried') AS chapter FROM lines WHERE pos % 3 = 1")
+@query(f"WITH {SQL_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, coalesce({sql_chapter('text')}, 'carried') AS chapter FROM lines")
 def ocr_chapter_override(spark, sf_dir):
-    return lines(spark, sf_dir).where("pos % 3 = 1").select("doc_id", "pos", ocr.override_chapter(F.lit("carried"), F.col("text")).alias("chapter"))
+    return lines(spark, sf_dir).select("doc_id", "pos", ocr.override_chapter(F.lit("carried"), F.col("text")).alias("chapter"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
@@ -286,10 +282,10 @@ def cache_key(spark, sf_dir):
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.when(F.col("doc_id") % 11 == 0, "unreadable")
-    return _files(spark, sf_dir, 9).where("doc_id % 2 = 0").select("cache_key", error.alias("ocr_error"))
+    return _files(spark, sf_dir, 9).select("cache_key", error.alias("ocr_error"))
 
 
-_SQL_CACHE = f"""WITH f AS (SELECT doc_id, {_SQL_KEY.format(3)} AS cache_key FROM documents), c AS (SELECT {_SQL_KEY.format(9)} AS cache_key FROM documents WHERE doc_id % 2 = 0 AND doc_id % 11 <> 0)
+_SQL_CACHE = f"""WITH f AS (SELECT doc_id, {_SQL_KEY.format(3)} AS cache_key FROM documents), c AS (SELECT {_SQL_KEY.format(9)} AS cache_key FROM documents WHERE doc_id % 11 <> 0)
 SELECT doc_id, cache_key FROM f WHERE """
 
 
@@ -303,7 +299,7 @@ def cache_misses(spark, sf_dir):
     return cache.misses(_files(spark, sf_dir, 3), _cached(spark, sf_dir)).select("doc_id", "cache_key")
 
 
-@query("SELECT count(DISTINCT " + _SQL_KEY.format(9) + ") AS n_entries FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT count(DISTINCT " + _SQL_KEY.format(9) + ") AS n_entries FROM documents")
 def cache_entries(spark, sf_dir):
     return cache.entries(_cached(spark, sf_dir))
 
@@ -345,10 +341,13 @@ def docx_read(spark, sf_dir):
     return B.section_blocks(source.read_paragraphs(files)).select("file", "chapter", "text", "scanned")
 
 
-@query(None)
+@query(
+    f"""WITH {SQL_BLOCKS} SELECT file, CAST(page AS INT) AS page, CASE WHEN scanned THEN substring('第' || page || '章 ' || path, 1, 60) ELSE chapter END AS chapter,
+CASE WHEN scanned THEN '第' || page || '章 ' || path || chr(10) || 'line' ELSE text END AS text, scanned, CASE WHEN scanned THEN CAST(0.75 AS DOUBLE) END AS ocr_conf, CAST(NULL AS VARCHAR) AS ocr_error FROM blocks"""
+)
 def ocr_udf(spark, sf_dir):
-    """Scans without text recognised by a stand-in engine."""
-    b = blocks(spark, sf_dir).withColumn("render_info", F.struct(F.col("path").alias("pdf_path"), F.col("page").alias("page_idx"), F.lit(300).alias("dpi"))).withColumn("ocr_error", F.lit(None).cast("string"))
+    """Every fifth document as a scan that a stand-in engine recognises; the others keep their texts."""
+    b = blocks(spark, sf_dir).withColumn("text", F.when(F.col("scanned"), "").otherwise(F.col("text"))).withColumn("render_info", F.struct(F.col("path").alias("pdf_path"), F.col("page").alias("page_idx"), F.lit(300).alias("dpi"))).withColumn("ocr_error", F.lit(None).cast("string"))
     engine = lambda path, page, dpi: [(f"第{page}章 {path}", 0.5), ("", 0.1), ("line", 1.0)]
     return ocr.recognise(b, engine).select("file", "page", "chapter", "text", "scanned", "ocr_conf", "ocr_error")
 
