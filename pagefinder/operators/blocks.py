@@ -16,17 +16,25 @@ LEAST_TEXT, LEAST_TEXT_BESIDE_IMAGES = 10, 400
 
 def pdf_classes(pages: DataFrame, path: str = "path") -> DataFrame:
     """(path, pdf_class): scanned, digital or mixed, by the producer and the first three pages."""
+    return pages.groupBy(path).agg(*(c.alias(k) for k, c in _flags().items())).select(path, _kind().alias("pdf_class"))
+
+
+def _flags() -> dict[str, Column]:
+    """What a file's class depends on, as aggregates over its pages."""
     early = F.col("page_idx") < SAMPLE_PAGES
-    flags = pages.groupBy(path).agg(
-        F.max(F.lower(F.coalesce("producer", F.lit("")))).alias("producer"),
-        F.coalesce(F.bool_or(early & (F.length(strip(F.coalesce("raw_text", F.lit("")))) >= SAMPLE_TEXT)), F.lit(False)).alias("has_text"),
-        F.coalesce(F.bool_or(early & (F.col("n_images") > 0)), F.lit(False)).alias("has_images"),
-    )
+    return {
+        "_producer": F.max(F.lower(F.coalesce("producer", F.lit("")))),
+        "_has_text": F.bool_or(early & (F.length(strip(F.coalesce("raw_text", F.lit("")))) >= SAMPLE_TEXT)),
+        "_has_images": F.bool_or(early & (F.col("n_images") > 0)),
+    }
+
+
+def _kind() -> Column:
     scanner = F.lit(False)
     for s in SCANNERS:
-        scanner = scanner | F.contains("producer", F.lit(s))
-    kind = F.when(scanner | (F.col("has_images") & ~F.col("has_text")), "scanned").when(F.col("has_images") & F.col("has_text"), "mixed").otherwise("digital")
-    return flags.select(path, kind.alias("pdf_class"))
+        scanner = scanner | F.contains("_producer", F.lit(s))
+    text, images = (F.coalesce(c, F.lit(False)) for c in ("_has_text", "_has_images"))
+    return F.when(scanner | (images & ~text), "scanned").when(images & text, "mixed").otherwise("digital")
 
 
 def is_scanned_page(text: Column, has_text_block: Column) -> Column:
@@ -45,9 +53,10 @@ def carry_chapter(pages: DataFrame, path: str = "path", order: str = "page_idx")
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of raw pages.  A page with text has a text block; a page to be scanned has none and says how to render it."""
-    kind = pdf_classes(pages)
     text = strip(F.coalesce("raw_text", F.lit("")))
-    known = pages.where("error is null").join(kind, "path").withColumn("text", text)
+    # classes by windows, not by a join with an aggregate: the reader runs once, and one shuffle serves classes and chapters
+    file = Window.partitionBy("path")
+    known = pages.where("error is null").withColumns({k: c.over(file) for k, c in _flags().items()}).withColumn("pdf_class", _kind()).withColumn("text", text)
     scanned = F.when(F.col("pdf_class") == "scanned", True).when(F.col("pdf_class") == "digital", False).otherwise(is_scanned_page(F.col("text"), F.coalesce("has_text_block", F.lit(False))))
     known = carry_chapter(known.withColumn("scanned", scanned))
     info = F.when(F.col("scanned"), F.struct(F.col("path").alias("pdf_path"), "page_idx", F.lit(OCR_DPI).alias("dpi")))

@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from ..schema import NO_CHAPTER
 from ..sources import files as source
 from . import blocks as rules
-from .cache import cache_key, misses
+from .cache import cache_key, hits, misses
 from .ocr import OcrEngine, recognise
 
 
+def refresh(files: DataFrame, cached: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None) -> DataFrame:
+    """The whole index of ``files``: cached blocks of files that have not changed, and fresh ones of the others.
+
+    Blocks of files that are gone, or of earlier versions, are left out.
+    """
+    keyed = files.withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
+    kept = cached.join(hits(keyed.select("cache_key"), cached), "cache_key", "left_semi")
+    return kept.unionByName(build(files, pdf_reader, convert, ocr, cached), allowMissingColumns=True)
+
+
 def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, cached: DataFrame | None = None) -> DataFrame:
     """Blocks of files (of ``sources.files``) that ``cached`` doesn't hold, with cache_key and modified.
 

@@ -80,7 +80,7 @@ def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
 def read_paragraphs(files: DataFrame, convert: DocConverter | None = None) -> DataFrame:
     """Paragraphs of .docx files, and of .doc files that are .docx inside or that ``convert`` turns into it.
 
-    A .doc that can neither be read nor converted gives no rows.
+    A .doc that is no .docx inside and has no converter gives no rows; a conversion that fails is that file's error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,10 +90,12 @@ def read_paragraphs(files: DataFrame, convert: DocConverter | None = None) -> Da
                 try:
                     rows = docx_paragraphs(content)
                 except Exception as e:  # any damage of one file is that file's error
-                    other = convert(content) if kind == ".doc" and convert else None
-                    if other is not None:
-                        rows = docx_paragraphs(other)
-                    elif kind == ".docx":
+                    try:
+                        other = convert(content) if kind == ".doc" and convert else None
+                        rows = docx_paragraphs(other) if other is not None else []
+                    except Exception as f:  # nor does a damaged or failed conversion stop the others
+                        error = f"{type(f).__name__}: {f}"
+                    if kind == ".docx":
                         error = f"{type(e).__name__}: {e}"
                 out = [(path, i, t, s, None) for i, (t, s) in enumerate(rows)] + ([(path, None, None, None, error)] if error else [])
                 frame = pd.DataFrame(out, columns=["path", "para_idx", "text", "style", "error"])

@@ -1,4 +1,7 @@
-"""A folder watched as a stream: new and changed files are indexed in micro-batches."""
+"""A folder watched as a stream: new files are indexed in micro-batches.
+
+Spark's file source knows paths, not versions: a file that is changed in place is not read again by the
+stream.  Run ``operators.index.refresh`` over the folder for these; it reads just what has changed."""
 
 from __future__ import annotations
 

@@ -1,3 +1,4 @@
+import os
 import zipfile
 
 import pytest
@@ -68,11 +69,38 @@ def test_index_and_cache(spark, folder):
     cached = spark.read.parquet(store)
     assert {r.path.rsplit("/", 1)[1] for r in index.build(files, reader, cached=cached).select("path").distinct().collect()} == set()
     assert cache.entries(cached).first().n_entries == 2
+    whole = index.refresh(files, cached, reader)
+    assert sorted((r.path, r.text) for r in whole.collect()) == sorted((r.path, r.text) for r in built.collect())
+    docx(folder / "in/sub/c.DOCX", ["changed"])
+    os.utime(folder / "in/sub/c.DOCX", (1, 1))
+    files = source.scan_folder(spark, str(folder / "in"))
+    assert [r.text for r in index.build(files, reader, cached=cached).collect()] == ["changed"]
+    assert sorted(r.text for r in index.refresh(files, cached, reader).where("file like 'c.%'").collect()) == ["changed"]
     (folder / "cache/mine.txt").write_text("stays")
     cache.clear(spark, store)
     assert (folder / "cache/mine.txt").exists() and not list((folder / "cache").glob("cache_key=*"))
 
 
+def test_failed_conversion(spark, folder):
+    (folder / "in/old.doc").write_bytes(b"no zip")
+
+    def convert(content):
+        raise RuntimeError("no converter here")
+
+    got = source.read_paragraphs(source.scan_folder(spark, str(folder / "in")), convert).where("path like '%old.doc'").collect()
+    assert [r.error for r in got] == ["RuntimeError: no converter here"]
+    assert "MapInPandas" in (plan := index.rules.page_blocks(source.read_pages(source.scan_folder(spark, str(folder / "in")), make_reader()))._jdf.queryExecution().optimizedPlan().toString()) and plan.count("MapInPandas") == 1
+
+
+def test_page_rules(spark):
+    """Short, garbled and scanned pages, which the tables don't hold."""
+    long, odd = "text " * 100, "§" * 25
+    rows = [("a", "Writer", 0, long, 1, True), ("a", "Writer", 1, "x" * 9, 0, True), ("a", "Writer", 2, "x" * 399, 0, False), ("a", "Writer", 3, "x" * 399, 0, True), ("a", "Writer", 4, odd + "abc" * 2, 0, True), ("b", "ScanSnap Manager", 0, long, 0, True), ("c", None, 0, "", 2, None), ("d", None, 0, "", 0, None)]
+    pages = spark.createDataFrame([(*r, None) for r in rows], source.RAW_PAGES)
+    got = {(r.path, r.page): r.scanned for r in index.rules.page_blocks(pages).collect()}
+    assert got == {("a", 1): False, ("a", 2): True, ("a", 3): True, ("a", 4): False, ("a", 5): True, ("b", 1): True, ("c", 1): True, ("d", 1): False}
+
+
 def test_stream(spark, folder):
     q = watch(spark, str(folder / "in"), str(folder / "store"), str(folder / "check"))
     q.awaitTermination(60)
