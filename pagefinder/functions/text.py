@@ -21,7 +21,8 @@ _BREAK = r"\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029"
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    # a run of blanks is tried from its first one only, so inner runs cost no more than their length
+    return F.regexp_replace(c, rf"(?U)^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
 
 
 def first_line(c: Column) -> Column:
@@ -32,7 +33,8 @@ def first_line(c: Column) -> Column:
 def detect_chapter(c: Column) -> Column:
     """The first line that is not blank, cut to 60 characters, if it is a heading; else null."""
     line = first_line(c)
-    return F.when(line.rlike(H1) | line.rlike(H2) | line.rlike(H3), F.substring(line, 1, CHAPTER_LENGTH))
+    may = c.rlike(rf"(?U)^{_BLANK}*+[第一二三四五六七八九十\d]")  # headings begin with nothing else
+    return F.when(may & line.rlike(f"{H1}|{H2}|{H3}"), F.substring(line, 1, CHAPTER_LENGTH))
 
 
 def is_garbled(c: Column) -> Column:

@@ -52,31 +52,39 @@ def carry_chapter(pages: DataFrame, path: str = "path", order: str = "page_idx")
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Blocks of raw pages.  A page with text has a text block; a page to be scanned has none and says how to render it."""
+    """Blocks of raw pages.  A page with text has a text block; a page to be scanned has none and says how to render it.
+
+    A file that could not be read is one block without text or page, with ocr_error.
+    """
     text = strip(F.coalesce("raw_text", F.lit("")))
     # classes by windows, not by a join with an aggregate: the reader runs once, and one shuffle serves classes and chapters
     file = Window.partitionBy("path")
-    known = pages.where("error is null").withColumns({k: c.over(file) for k, c in _flags().items()}).withColumn("pdf_class", _kind()).withColumn("text", text)
-    scanned = F.when(F.col("pdf_class") == "scanned", True).when(F.col("pdf_class") == "digital", False).otherwise(is_scanned_page(F.col("text"), F.coalesce("has_text_block", F.lit(False))))
+    known = pages.withColumns({k: c.over(file) for k, c in _flags().items()}).withColumn("pdf_class", _kind()).withColumn("text", text)
+    scanned = F.when(F.col("error").isNotNull(), False).when(F.col("pdf_class") == "scanned", True).when(F.col("pdf_class") == "digital", False).otherwise(is_scanned_page(F.col("text"), F.coalesce("has_text_block", F.lit(False))))
     known = carry_chapter(known.withColumn("scanned", scanned))
     info = F.when(F.col("scanned"), F.struct(F.col("path").alias("pdf_path"), "page_idx", F.lit(OCR_DPI).alias("dpi")))
-    good = known.select(base_name(F.col("path")).alias("file"), "path", (F.col("page_idx") + 1).alias("page"), "chapter", F.when(F.col("scanned"), "").otherwise(F.col("text")).alias("text"), "scanned", info.alias("render_info"), F.lit(None).cast("string").alias("ocr_error"), F.col("page_idx").cast("long").alias("block_ord"))
-    return good
+    return known.select(base_name(F.col("path")).alias("file"), "path", (F.col("page_idx") + 1).alias("page"), "chapter", F.when(F.col("scanned"), "").otherwise(F.col("text")).alias("text"), "scanned", info.alias("render_info"), F.col("error").alias("ocr_error"), F.coalesce("page_idx", F.lit(0)).cast("long").alias("block_ord"))
 
 
 def fold_sections(paragraphs: DataFrame, path: str = "path") -> DataFrame:
     """(path, section, chapter, text): a heading opens a section and is its first line; blank paragraphs go."""
+    return _fold(paragraphs.withColumn("error", F.lit(None).cast("string")), path).drop("error")
+
+
+def _fold(paragraphs: DataFrame, path: str) -> DataFrame:
+    """``fold_sections``, with the ``error`` of files that have nothing else."""
     text = strip(F.coalesce("text", F.lit("")))
-    rows = paragraphs.withColumn("text", text).where("text <> ''")
+    rows = paragraphs.withColumn("text", text).where("text <> '' or error is not null")
     heading = F.coalesce(F.lower(F.coalesce("style", F.lit(""))).startswith("heading"), F.lit(False)) | detect_chapter(F.col("text")).isNotNull()
     rows = rows.withColumn("_h", heading)
-    rows = rows.withColumn("section", F.sum(F.col("_h").cast("int")).over(Window.partitionBy(path).orderBy("para_idx")))
-    folded = rows.groupBy(path, "section").agg(F.sort_array(F.collect_list(F.struct("para_idx", "text", "_h"))).alias("_p"))
+    rows = rows.withColumn("para_idx", F.coalesce("para_idx", F.lit(0))).withColumn("section", F.sum(F.col("_h").cast("int")).over(Window.partitionBy(path).orderBy("para_idx")))
+    folded = rows.groupBy(path, "section").agg(F.sort_array(F.collect_list(F.struct("para_idx", "text", "_h"))).alias("_p"), F.max("error").alias("error"))
     first = F.col("_p")[0]
-    return folded.select(path, "section", F.when(first["_h"], F.substring(first["text"], 1, 60)).otherwise(NO_CHAPTER).alias("chapter"), F.array_join(F.transform("_p", lambda x: x["text"]), "\n").alias("text"))
+    return folded.select(path, "section", F.when(first["_h"], F.substring(first["text"], 1, 60)).otherwise(NO_CHAPTER).alias("chapter"), F.array_join(F.transform("_p", lambda x: x["text"]), "\n").alias("text"), "error")
 
 
 def section_blocks(paragraphs: DataFrame) -> DataFrame:
-    folded = fold_sections(paragraphs.where("error is null"))
+    """Blocks of paragraphs; a file that could not be read is one block without text, with ocr_error."""
+    folded = _fold(paragraphs, "path")
     none = "struct<pdf_path:string,page_idx:int,dpi:int>"
-    return folded.select(base_name(F.col("path")).alias("file"), "path", F.lit(None).cast("int").alias("page"), "chapter", "text", F.lit(False).alias("scanned"), F.lit(None).cast(none).alias("render_info"), F.lit(None).cast("string").alias("ocr_error"), F.col("section").cast("long").alias("block_ord"))
+    return folded.select(base_name(F.col("path")).alias("file"), "path", F.lit(None).cast("int").alias("page"), "chapter", "text", F.lit(False).alias("scanned"), F.lit(None).cast(none).alias("render_info"), F.col("error").alias("ocr_error"), F.col("section").cast("long").alias("block_ord"))

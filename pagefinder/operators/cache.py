@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "v10"
@@ -29,14 +32,26 @@ def _whole(cached: DataFrame) -> DataFrame:
 
 
 def store(blocks: DataFrame, path: str) -> None:
-    """Writes blocks with cache_key and modified; keys written again replace their own partition only."""
-    blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key").parquet(path)
+    """Appends blocks with cache_key and modified, under a stamp of this call; ``load`` takes the last stamp of each key.
+
+    Files of the store are as many as the tasks that wrote them, whatever the number of keys.  A write that fails and is
+    repeated, as a stream's batch may be, leaves no key twice.
+    """
+    stamp = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    blocks.withColumn("stored", F.lit(stamp)).write.mode("append").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a store as they were written last for each cache_key."""
+    every = spark.read.parquet(path)
+    newest = every.groupBy("cache_key").agg(F.max("stored").alias("stored"))
+    return every.join(newest, ["cache_key", "stored"]).drop("stored")
 
 
 def latest(cached: DataFrame) -> DataFrame:
     """Blocks of each path's last change only."""
-    last = Window.partitionBy("path")
-    return cached.withColumn("_m", F.max("modified").over(last)).where("modified = _m").drop("_m")
+    last = cached.groupBy("path").agg(F.max("modified").alias("modified"))
+    return cached.join(last, ["path", "modified"])
 
 
 def entries(cached: DataFrame) -> DataFrame:
@@ -44,11 +59,11 @@ def entries(cached: DataFrame) -> DataFrame:
 
 
 def clear(spark, path: str) -> None:
-    """Removes cache partitions, and nothing else that lies in the folder."""
+    """Removes what ``store`` wrote, and nothing else that lies in the folder."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(where):
         for s in fs.listStatus(where):
-            if s.getPath().getName().startswith("cache_key=") or s.getPath().getName() == "_SUCCESS":
+            if s.getPath().getName().startswith("part-") or s.getPath().getName() == "_SUCCESS":
                 fs.delete(s.getPath(), True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULTS = {"base_url": "", "api_key": "", "model": "", "cache_dir": ""}
@@ -23,6 +23,39 @@ def dump(config: dict[str, str]) -> str:
     return json.dumps({k: v.strip() if isinstance(v, str) else v for k, v in config.items()}, ensure_ascii=False, indent=2)
 
 
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save(spark: SparkSession, path: str, config: dict[str, str]) -> None:
+    """Writes settings as UTF-8 JSON to any file system that Spark knows, in place of what was there."""
+    where, fs = _file(spark, path)
+    out = fs.create(where, True)
+    try:
+        out.write(dump(config).encode())
+    finally:
+        out.close()
+
+
+def read(spark: SparkSession, path: str) -> dict[str, str]:
+    """Settings of a file; defaults if there is none."""
+    where, fs = _file(spark, path)
+    rows = spark.read.text(path, wholetext=True).first() if fs.exists(where) else None
+    return load(rows.value if rows else None)
+
+
+def cache_folder(spark: SparkSession, config: dict[str, str], default: str) -> str:
+    """Where the cache lies: the folder that the settings name, made if it is missing, or the default.
+
+    Emptying ``cache_dir`` goes back to the default.
+    """
+    folder = config.get("cache_dir") or default
+    where, fs = _file(spark, folder)
+    fs.mkdirs(where)
+    return folder
+
+
 def is_configured(config: dict[str, str]) -> bool:
     return all(config.get(k) for k in ("base_url", "api_key", "model"))
 

@@ -2,39 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schema import NO_CHAPTER
 from ..sources import files as source
 from . import blocks as rules
 from .cache import cache_key, hits, misses
-from .ocr import OcrEngine, recognise
+from .ocr import OcrEngine, PdfOpener, recognise
 
+_NO_BLOCK = -1
 
-def refresh(files: DataFrame, cached: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None) -> DataFrame:
+
+def file_order(files: DataFrame) -> DataFrame:
+    """(path, file_ord): numbers that grow with the path, with gaps; no task sees more than its range of paths."""
+    names = files.select("path").distinct()
+    return names.repartitionByRange("path").sortWithinPartitions("path").select("path", F.monotonically_increasing_id().alias("file_ord"))
+
+
+def refresh(files: DataFrame, cached: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, opener: PdfOpener | None = None) -> DataFrame:
     """The whole index of ``files``: cached blocks of files that have not changed, and fresh ones of the others.
 
-    Blocks of files that are gone, or of earlier versions, are left out.
+    Blocks of files that are gone, or of earlier versions, are left out; ``cached`` is what ``cache.load`` gives.
     """
     keyed = files.withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
-    kept = cached.join(hits(keyed.select("cache_key"), cached), "cache_key", "left_semi")
-    return kept.unionByName(build(files, pdf_reader, convert, ocr, cached), allowMissingColumns=True)
+    kept = cached.join(hits(keyed.select("cache_key"), cached), "cache_key", "left_semi").drop("file_ord")
+    fresh = build(files, pdf_reader, convert, ocr, cached, opener).drop("file_ord")
+    return kept.unionByName(fresh, allowMissingColumns=True).join(file_order(files), "path")
 
 
-def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, cached: DataFrame | None = None) -> DataFrame:
-    """Blocks of files (of ``sources.files``) that ``cached`` doesn't hold, with cache_key and modified.
+def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, cached: DataFrame | None = None, opener: PdfOpener | None = None, seen: Observation | None = None) -> DataFrame:
+    """Blocks of files (of ``sources.files``) that ``cached`` doesn't hold, with cache_key, modified and file_ord.
 
-    A file too large to be loaded has one block without text whose ocr_error says so.
+    A file that can't be read, or is too large to be loaded, is one block without text whose ocr_error says why; it
+    is read again next time.  A file that was read and has no blocks is one row without text whose block_ord is -1, so that
+    the cache knows it; ``blocks_of`` leaves those out.  ``seen`` counts files, blocks and errors as they are made,
+    for progress reports.
     """
     files = files.withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
-    files = files if cached is None else misses(files, cached)
-    out = rules.section_blocks(source.read_paragraphs(files, convert))
+    todo = files if cached is None else misses(files, cached)
+    out = rules.section_blocks(source.read_paragraphs(todo, convert))
     if pdf_reader is not None:
-        out = out.unionByName(rules.page_blocks(source.read_pages(files, pdf_reader)))
-    out = recognise(out, ocr) if ocr is not None else out.withColumn("ocr_conf", F.lit(None).cast("double"))
-    large = source.oversized(files).where(F.col("suffix") != ".pdf" if pdf_reader is None else F.lit(True))
-    large = large.select(rules.base_name(F.col("path")).alias("file"), "path", F.lit(NO_CHAPTER).alias("chapter"), F.lit("").alias("text"), F.lit(False).alias("scanned"), F.col("error").alias("ocr_error"), F.lit(0).cast("long").alias("block_ord"))
-    out = out.unionByName(large, allowMissingColumns=True)
-    keys = files.select("path", "cache_key", F.col("modificationTime").alias("modified"))
-    return out.join(keys, "path")
+        out = out.unionByName(rules.page_blocks(source.read_pages(todo, pdf_reader)))
+    out = recognise(out, ocr, opener) if ocr is not None or opener is not None else out.withColumn("ocr_conf", F.lit(None).cast("double"))
+    read = F.col("suffix").isin(*(s for s in source.SUPPORTED if s != ".pdf" or pdf_reader is not None))
+    keys = todo.where(read).select("path", "cache_key", F.col("modificationTime").alias("modified"))
+    none = {"file": rules.base_name(F.col("path")), "chapter": F.lit(NO_CHAPTER), "text": F.lit(""), "scanned": F.lit(False), "block_ord": F.lit(_NO_BLOCK)}
+    out = keys.join(out, "path", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+    if seen is not None:
+        out = out.observe(seen, F.approx_count_distinct("path").alias("n_files"), F.count_if(F.col("block_ord") != _NO_BLOCK).alias("n_blocks"), F.count("ocr_error").alias("n_errors"))
+    return out.join(file_order(files), "path")
+
+
+def blocks_of(index: DataFrame) -> DataFrame:
+    """An index without the rows of files that have no blocks."""
+    return index.where(F.col("block_ord") != _NO_BLOCK)

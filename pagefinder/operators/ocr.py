@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, ExitStack
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,10 @@ from ..functions.text import detect_chapter
 
 #: (pdf path, page index, dpi) -> [(text, confidence)] a line.
 OcrEngine = Callable[[str, int, int], list[tuple[str, float]]]
+#: pdf path -> an open file, (page index, dpi) -> [(text, confidence)] a line.
+PdfOpener = Callable[[str], AbstractContextManager[Callable[[int, int], list[tuple[str, float]]]]]
+#: Pages of a PDF that one opening serves; a longer file is shared by several tasks.
+PAGES_AN_OPENING = 64
 LINES = "array<struct<text:string,conf:double>>"
 
 
@@ -32,29 +37,60 @@ def override_chapter(chapter: Column, ocr_text: Column) -> Column:
     return F.coalesce(detect_chapter(ocr_text), chapter)
 
 
-def recognise(blocks: DataFrame, engine: OcrEngine) -> DataFrame:
+def _by_file(opener: PdfOpener, files: ExitStack) -> OcrEngine:
+    """An engine that keeps the file of the page before open, and what went wrong with it."""
+    now: dict[str, object] = {"path": None}
+
+    def read(path: str, page_idx: int, dpi: int) -> list[tuple[str, float]]:
+        if path != now["path"]:
+            files.close()
+            now.update(path=path, page=None, error=None)
+            try:
+                now["page"] = files.enter_context(opener(path))
+            except Exception as e:
+                now["error"] = e
+        if now["error"] is not None:
+            raise now["error"]
+        return now["page"](page_idx, dpi)
+
+    return read
+
+
+def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpener | None = None) -> DataFrame:
     """Fills text, chapter, ocr_conf and ocr_error of scanned blocks without text; ``scanned`` stays.
 
     Pages stream through one at a time, so an image is all that a task holds; an engine's error is
-    that page's.  Other blocks pass by without Python.
+    that page's.  Other blocks pass by without Python.  With an ``opener``, pages are brought together by file, in
+    runs of ``PAGES_AN_OPENING``, and a file is opened once a run; a file that won't open is the error of its pages.
     """
+    if (engine is None) == (opener is None):
+        raise ValueError("give an engine or an opener")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found, errors = [], []
-            for info in batch.render_info:
-                try:
-                    lines = engine(info["pdf_path"], int(info["page_idx"]), int(info["dpi"]))
-                    found.append([{"text": t, "conf": float(c)} for t, c in lines])
-                    errors.append(None)
-                except Exception as e:
-                    found.append([])
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield batch.assign(_lines=found, ocr_error=errors)
+        with ExitStack() as files:
+            read = engine or _by_file(opener, files)
+            for batch in batches:
+                yield page_by_page(batch, read)
+
+    def page_by_page(batch: pd.DataFrame, read: OcrEngine) -> pd.DataFrame:
+        found, errors = [], []
+        for info in batch.render_info:
+            try:
+                lines = read(info["pdf_path"], int(info["page_idx"]), int(info["dpi"]))
+                found.append([{"text": t, "conf": float(c)} for t, c in lines])
+                errors.append(None)
+            except Exception as e:
+                found.append([])
+                errors.append(f"{type(e).__name__}: {e}")
+        return batch.assign(_lines=found, ocr_error=errors)
 
     need = F.col("scanned") & (F.col("text") == "")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
-    done = blocks.where(need).mapInPandas(run, f"{schema}, _lines {LINES}")
+    todo = blocks.where(need)
+    if opener is not None:
+        page = F.col("render_info.page_idx")
+        todo = todo.repartition("render_info.pdf_path", F.floor(page / PAGES_AN_OPENING)).sortWithinPartitions("render_info.pdf_path", page)
+    done = todo.mapInPandas(run, f"{schema}, _lines {LINES}")
     done = done.withColumn("text", lines_text(F.col("_lines"))).withColumn("chapter", override_chapter(F.col("chapter"), F.col("text")))
     done = done.withColumn("ocr_conf", F.when(F.col("ocr_error").isNull(), lines_confidence(F.col("_lines")))).drop("_lines")
     rest = blocks.where(~need).withColumn("ocr_conf", F.lit(None).cast("double"))

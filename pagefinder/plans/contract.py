@@ -311,10 +311,13 @@ def config_merge(spark, sf_dir):
     return config.merge(given, spark.createDataFrame(list(config.DEFAULTS.items()), "name string, value string"))
 
 
-# --- functions that callers bring, with fixed stand-ins; no SQL ---
+# --- functions that callers bring, with fixed stand-ins ---
 
 
-@query(None)
+@query(f"""WITH l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+s AS (SELECT doc_id, pos, {sql_strip('line')} AS text FROM l0), h AS (SELECT *, {sql_chapter('text')} IS NOT NULL AS head FROM s WHERE text <> ''),
+n AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h)
+SELECT doc_id || '.docx' AS file, coalesce(max(CASE WHEN head THEN substring(text, 1, 60) END), '{NO_CHAPTER}') AS chapter, string_agg(text, chr(10) ORDER BY pos) AS text, false AS scanned FROM n GROUP BY doc_id, section""")
 def docx_read(spark, sf_dir):
     """Documents written as .docx inside the engine and read back as sections."""
     from ..sources import files as source
@@ -331,7 +334,7 @@ def docx_read(spark, sf_dir):
         for b in batches:
             out = []
             for doc, text in zip(b.doc_id, b.text, strict=True):
-                body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+                body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in (text or "").split("\n"))
                 with zipfile.ZipFile(raw := io.BytesIO(), "w") as z:
                     z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
                 out.append((f"{doc}.docx", ".docx", len(raw.getvalue()), raw.getvalue()))
@@ -352,7 +355,14 @@ def ocr_udf(spark, sf_dir):
     return ocr.recognise(b, engine).select("file", "page", "chapter", "text", "scanned", "ocr_conf", "ocr_error")
 
 
-@query(None)
+_SQL_PROMPT = (
+    f"WITH {SQL_RANKED} SELECT file, count(*) AS n_hits, '用户在文件「' || file || '」中搜索「{QUERY}」，找到了 ' || count(*) || ' 处匹配内容。' || chr(10) || chr(10) || "
+    + " || chr(10) || ".join(f"'{x}'" for x in polish.RULES.replace("{query}", QUERY).split("\n"))
+    + f" || string_agg('【第' || page || '页 {NO_CHAPTER}】' || chr(10) || snippet, chr(10) || chr(10) ORDER BY result_rank) AS prompt FROM final GROUP BY file"
+)
+
+
+@query(f"SELECT file, CAST(length(prompt) AS VARCHAR) || ' {T.HIGHLIGHT.format('the')}' AS answer, false AS failed FROM ({_SQL_PROMPT})")
 def polish_udf(spark, sf_dir):
     """Hits of each file summarised by a stand-in model."""
     chat = lambda messages, temperature: iter([f"{len(messages[1]['content'])} the"])

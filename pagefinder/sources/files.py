@@ -80,7 +80,7 @@ def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
 def read_paragraphs(files: DataFrame, convert: DocConverter | None = None) -> DataFrame:
     """Paragraphs of .docx files, and of .doc files that are .docx inside or that ``convert`` turns into it.
 
-    A .doc that is no .docx inside and has no converter gives no rows; a conversion that fails is that file's error.
+    A .doc that is no .docx inside and that ``convert`` (such as ``sources.convert.office_converter``) gives nothing for has no rows; a conversion that fails is that file's error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,10 +1,17 @@
 import os
+import sys
+import types
 import zipfile
 
+import numpy as np
+
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pagefinder.operators import cache, config, index, locate, ocr, polish, report
+from pagefinder.functions.image import deskew, skew
+from pagefinder.sources import convert, models, pdf
 from pagefinder.sources import files as source
 from pagefinder.streaming.watch import watch
 
@@ -22,6 +29,7 @@ def folder(tmp_path):
     (tmp_path / "in/sub").mkdir(parents=True)
     docx(tmp_path / "in/sub/c.DOCX", ["intro", "1 Scope", "steel and steel"])
     (tmp_path / "in/broken.docx").write_bytes(b"no zip")
+    docx(tmp_path / "in/blank.docx", [" "])
     (tmp_path / "in/B.PDF").write_bytes(b"page one steel and more words that make it a page of text|")
     (tmp_path / "in/e.txt").write_text("steel")
     return tmp_path
@@ -58,27 +66,37 @@ def test_index_and_cache(spark, folder):
     errors = source.read_paragraphs(files).where("error is not null").collect()
     assert [r.path.rsplit("/", 1)[1] for r in errors] == ["broken.docx"]
     reader = make_reader()
-    built = index.build(files, reader, ocr=lambda *_: [("第九章 steel", 0.5)])
+    seen = Observation()
+    built = index.build(files, reader, ocr=lambda *_: [("第九章 steel", 0.5)], seen=seen)
     rows = {(r.file, r.page): r for r in built.collect()}
+    assert seen.get == {"n_files": 4, "n_blocks": 5, "n_errors": 1}
     assert rows["B.PDF", 1].text.startswith("page one steel") and not rows["B.PDF", 1].scanned
     assert rows["B.PDF", 2].scanned and rows["B.PDF", 2].chapter == "第九章 steel" and rows["B.PDF", 2].ocr_conf == 0.5
     sections = sorted((r.block_ord, r.chapter, r.text) for r in built.where("file = 'c.DOCX'").collect())
     assert [s[1:] for s in sections] == [("（未识别章节）", "intro"), ("1 Scope", "1 Scope\nsteel and steel")]
     store = str(folder / "cache")
     cache.store(built, store)
-    cached = spark.read.parquet(store)
-    assert {r.path.rsplit("/", 1)[1] for r in index.build(files, reader, cached=cached).select("path").distinct().collect()} == set()
-    assert cache.entries(cached).first().n_entries == 2
+    cached = cache.load(spark, store)
+    cached.cache().count()
+    # a file with an error is read again, the others are not
+    assert [(r.file, r.text, r.ocr_error is not None) for r in index.build(files, reader, cached=cached).collect()] == [("broken.docx", "", True)]
+    assert cache.entries(cached).first().n_entries == 4
+    assert [(r.file, r.block_ord) for r in built.where("file = 'blank.docx'").collect()] == [("blank.docx", -1)]
+    assert index.blocks_of(built).where("file = 'blank.docx'").count() == 0
+    orders = [r.file_ord for r in built.select("path", "file_ord").distinct().orderBy("path").collect()]
+    assert orders == sorted(set(orders)) and len(orders) == 4
     whole = index.refresh(files, cached, reader)
     assert sorted((r.path, r.text) for r in whole.collect()) == sorted((r.path, r.text) for r in built.collect())
+    cache.store(built, store)  # once more: each key counts once
+    assert cache.load(spark, store).count() == built.count()
     docx(folder / "in/sub/c.DOCX", ["changed"])
     os.utime(folder / "in/sub/c.DOCX", (1, 1))
     files = source.scan_folder(spark, str(folder / "in"))
-    assert [r.text for r in index.build(files, reader, cached=cached).collect()] == ["changed"]
+    assert [r.text for r in index.build(files, reader, cached=cached).where("ocr_error is null").collect()] == ["changed"]
     assert sorted(r.text for r in index.refresh(files, cached, reader).where("file like 'c.%'").collect()) == ["changed"]
     (folder / "cache/mine.txt").write_text("stays")
     cache.clear(spark, store)
-    assert (folder / "cache/mine.txt").exists() and not list((folder / "cache").glob("cache_key=*"))
+    assert (folder / "cache/mine.txt").exists() and not list((folder / "cache").glob("part-*"))
 
 
 def test_failed_conversion(spark, folder):
@@ -104,7 +122,7 @@ def test_page_rules(spark):
 def test_stream(spark, folder):
     q = watch(spark, str(folder / "in"), str(folder / "store"), str(folder / "check"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(folder / "store")).where("text like '%steel%'").count() == 1
+    assert cache.load(spark, str(folder / "store")).where("text like '%steel%'").count() == 1
 
 
 def test_locate(spark):
@@ -141,6 +159,125 @@ def test_ocr_rules(spark):
     assert [tuple(r) for r in d.collect()] == [("a\nb", 0.75), ("", 1.0), ("", 1.0)]
 
 
+def test_opener(spark, tmp_path):
+    """A file is opened once for all its pages; one that won't open is the error of its own pages."""
+    log = str(tmp_path / "opened")
+
+    def opener(path):  # local, so that workers need not import this file
+        from contextlib import contextmanager
+
+        @contextmanager
+        def opened():
+            with open(log, "a") as f:
+                f.write(path + "\n")
+            if path == "bad":
+                raise OSError("no such file")
+            yield lambda page_idx, dpi: [(f"{path} {page_idx} {dpi}", 1.0)]
+
+        return opened()
+
+    rows = [(p, True, "", (p, i, 300), "c", None) for p in ("a", "b", "bad") for i in range(5)] + [("a", False, "plain", None, "c", None)]
+    b = spark.createDataFrame(rows, "file string, scanned boolean, text string, render_info struct<pdf_path:string,page_idx:int,dpi:int>, chapter string, ocr_error string")
+    got = ocr.recognise(b, opener=opener).collect()
+    assert sorted(r.text for r in got if r.text) == sorted([f"{p} {i} 300" for p in "ab" for i in range(5)] + ["plain"])
+    assert [r.ocr_error for r in got if r.file == "bad"] == ["OSError: no such file"] * 5
+    assert sorted(open(log).read().split()) == ["a", "b", "bad"]
+    with pytest.raises(ValueError):
+        ocr.recognise(b)
+
+
+def page_image(angle):
+    """Dark bars on a light page, turned by an angle."""
+    y, x = np.mgrid[0:400, 0:400] - 200.0
+    a = np.radians(angle)
+    across, down = x * np.cos(a) + y * np.sin(a), y * np.cos(a) - x * np.sin(a)
+    ink = (np.abs(across) < 150) & (np.abs(down) < 60) & (down % 20 < 10)
+    return np.repeat(np.where(ink, 20, 235).astype(np.uint8)[..., None], 3, axis=2)
+
+
+def test_deskew():
+    for angle in (-20, -3, 0.2, 4, 30):
+        image = page_image(angle)
+        assert abs(skew(image) - angle) < 0.4
+        level = deskew(image)
+        assert level.shape == image.shape and abs(skew(level)) < 0.5
+    level = page_image(0)
+    assert deskew(level) is level and skew(np.full((9, 9, 3), 255, np.uint8)) == 0 and skew(np.zeros((0, 0), np.uint8)) == 0
+
+
+def test_pdf_library(monkeypatch):
+    """With a stand-in for the library, which is absent here."""
+
+    class Page:
+        def get_text(self, kind):
+            return {"blocks": [{"type": 1}, {"type": 0, "lines": [{"spans": [{"text": " steel "}]}]}]} if kind == "dict" else "steel"
+
+        def get_images(self, full):
+            return [1, 2]
+
+        def get_pixmap(self, dpi, alpha):
+            image = page_image(4)
+            return types.SimpleNamespace(samples=image.tobytes(), height=400, width=400)
+
+    class Doc(list):
+        metadata = {"producer": "w"}
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: Doc([Page()])))
+    assert pdf.read_pdf("a.pdf", b"x") == ("w", [("steel", 2, True)])
+    made = []
+    opener = pdf.page_opener(lambda: made.append(1) or (lambda image: [("level", abs(skew(image)))]), lambda path: b"x")
+    for _ in range(2):
+        with opener("a.pdf") as page:
+            assert page(0, 300)[0][0] == "level" and page(0, 300)[0][1] < 0.5
+    assert made == [1]
+
+
+def test_office_converter(tmp_path, monkeypatch):
+    monkeypatch.setenv("PATH", str(tmp_path))
+    assert convert.office_converter(b"old") is None
+    program = tmp_path / "soffice"
+    program.write_text('#!/bin/sh\n/bin/mkdir -p "$6" && /bin/cp "$7" "$6/in.docx"\n')
+    program.chmod(0o755)
+    assert convert.office_converter(b"old") == b"old"
+    program.write_text("#!/bin/sh\nexit 3\n")
+    assert convert.office_converter(b"old") is None
+
+
+def test_models():
+    seen = []
+    get = lambda url, headers: seen.append((url, headers)) or b'{"data": [{"id": "m2"}, {"id": "m1"}]}'
+    assert models.list_models("http://host/v1/", "k", get) == ["m1", "m2"]
+    assert seen == [("http://host/v1/models", {"Authorization": "Bearer k"})]
+    with pytest.raises(RuntimeError, match="no list of models"):
+        models.list_models("http://host", "k", lambda *_: b"no json")
+
+
+def test_file_order_and_counts(spark):
+    rows = [("f2", 1, "c", "aa", False, 2, 0), ("f1", 1, "c", "aa", False, 1, 7), ("f1", 2, "c", "", True, 1, 8), ("f3", 1, "c", "none", True, 3, 0)]
+    b = spark.createDataFrame(rows, "file string, page int, chapter string, text string, scanned boolean, file_ord long, block_ord long")
+    seen = Observation()
+    assert [r.file for r in locate.locate(b, "aa", seen=seen).collect()] == ["f1", "f2"]
+    assert seen.get == {"n_blocks": 4, "n_scanned_with_text": 1, "n_scanned_no_text": 1, "n_candidates": 2}
+    assert [(r.result_rank, r.file) for r in locate.locate_many(b, {1: "aa"}).collect()] == [(1, "f1"), (2, "f2")]
+
+
+def test_settings_file(spark, tmp_path):
+    path = f"file://{tmp_path}/config.json"
+    assert config.read(spark, path) == config.DEFAULTS
+    config.save(spark, path, {"model": " m ", "cache_dir": f"file://{tmp_path}/other"})
+    got = config.read(spark, path)
+    assert got["model"] == "m" and got["api_key"] == ""
+    assert config.cache_folder(spark, got, f"file://{tmp_path}/own").endswith("/other") and (tmp_path / "other").is_dir()
+    config.save(spark, path, {**got, "cache_dir": ""})
+    assert config.cache_folder(spark, config.read(spark, path), f"file://{tmp_path}/own").endswith("/own")
+
+
 def test_config():
     assert config.load("{bad") == config.DEFAULTS
     assert config.load('{"model": "m"}')["model"] == "m" and not config.is_configured(config.load(None))
