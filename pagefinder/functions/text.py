@@ -16,13 +16,14 @@ NOT_VALID = r'[^\p{L}\p{N}，。、；："（）《》【】—…· \t\n]'
 HIGHLIGHT = '<span style="background:#ffd;padding:1px 4px;border-radius:3px"><b>{}</b></span>'
 
 _BLANK = r"[\s\x1c-\x1f]"
+# The same characters, one by one.
+_SPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _BREAK = r"\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    # a run of blanks is tried from its first one only, so inner runs cost no more than their length
-    return F.regexp_replace(c, rf"(?U)^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def first_line(c: Column) -> Column:

@@ -82,3 +82,10 @@ def test_carry_and_fold(spark):
     paragraphs = [("d", 0, "intro", ""), ("d", 1, "1 One", ""), ("d", 2, "text", ""), ("d", 3, "  ", ""), ("d", 4, "2 Two", ""), ("d", 5, "Styled", "Heading 2")]
     got = B.fold_sections(spark.createDataFrame(paragraphs, "path string, para_idx int, text string, style string")).orderBy("section").collect()
     assert [(r.chapter, r.text) for r in got] == [("（未识别章节）", "intro"), ("1 One", "1 One\ntext"), ("2 Two", "2 Two"), ("Styled", "Styled")]
+
+
+def test_strip_is_python_s(spark):
+    """For every character of the basic plane, at both ends and inside."""
+    rows = [(c + "a" + c + "b" + c,) for c in map(chr, range(1, 0x10000)) if not "\ud800" <= c <= "\udfff"]
+    d = spark.createDataFrame(rows, "t string")
+    assert [r.t for r in d.select("t", T.strip(F.col("t")).alias("s")).collect() if r.s != r.t.strip()] == []
