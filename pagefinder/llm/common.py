@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -52,11 +53,35 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _stored[out] = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
 #: Where tables made by ``materialize`` are.
 _stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Tables of each open ``scratch``.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end what ``materialize`` wrote inside, but for what the function it gives was asked to write and keep."""
+    mine: list[DataFrame] = []
+    _scopes.append(mine)
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        mine.pop()
+        if len(_scopes) > 1:
+            _scopes[-2].append(out)  # an operator inside another one: the outer one's to delete
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        discard(*mine)
 
 
 def discard(*tables: DataFrame) -> None:
