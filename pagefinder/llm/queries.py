@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embed_dedup, jaccard_join, licenses, line_dedup, lm_score, packing, quality, resample, sharding, token_store
+from . import decontaminate, embed_dedup, jaccard_join, licenses, line_dedup, lm_score, mixing, packing, quality, resample, sharding, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_line_dedup": line_dedup.query,
     "op10_license_scan": licenses.query,
+    "op11_mixing": mixing.query,
     "op13_importance_resample": resample.query,
 }
 
