@@ -25,11 +25,11 @@ from .ordering import numbered
 
 BUCKETS, SHORTEST, LONGEST = 10_000, 1, 1
 SEED, PERCENT, LEAST_WORDS = 2024, 10, 20
-#: Bytes of text whose n-grams are counted together, and pieces that a longer text is cut into.
-SLICE_BYTES, PIECE_BYTES = 8 << 20, 4 << 20
+#: Bytes of text whose n-grams are counted together, with as many documents as two bytes can tell apart at most; pieces that a longer text is cut into.
+SLICE_BYTES, SLICE_DOCS, PIECE_BYTES = 16 << 20, 60_000, 4 << 20
 
-_COUNTS = pa.schema([("batch", pa.int64()), ("feature", pa.binary()), ("total", pa.int64()), ("docs", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))])
-_COUNTS_SQL = "batch long, feature binary, total long, docs array<long>, at array<int>, n array<long>, words array<long>"
+_COUNTS = pa.schema([("batch", pa.int64()), ("feature", pa.binary()), ("total", pa.int64()), ("places", pa.binary()), ("docs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("words", pa.list_(pa.int64()))])
+_COUNTS_SQL = "batch long, feature binary, total long, places binary, docs array<long>, n array<long>, words array<long>"
 
 
 def _pieces(text: bytes, most: int) -> Iterator[list[bytes]]:
@@ -59,10 +59,10 @@ def features(text: bytes, low: int, high: int, most: int = PIECE_BYTES) -> Itera
 
 
 def feature_counts(docs: DataFrame, low: int = SHORTEST, high: int = LONGEST) -> DataFrame:
-    """Counts of each n-gram in each document, (batch, feature, total, docs, at, n, words).
+    """Counts of each n-gram in each document, (batch, feature, total, places, docs, n, words).
 
-    A batch is some megabytes of documents.  It has one row for each of its n-grams: how often it occurs in all, the places in the batch of the
-    documents it is in, and how often in each.  One row without a feature has the batch's doc_ids and their numbers of n-grams (n) and of words.  So a string is
+    A batch is some megabytes of documents.  It has one row for each of its n-grams: how often it occurs in all, and the places in the batch of the documents
+    it is in, two bytes for each occurrence.  One row without a feature has the batch's doc_ids and their numbers of n-grams (n) and of words.  So a string is
     stored once a batch, and one that every document has is a row a batch with a bounded list.
     """
 
@@ -71,7 +71,7 @@ def feature_counts(docs: DataFrame, low: int = SHORTEST, high: int = LONGEST) ->
         context = TaskContext.get()
         batch_id = context.partitionId() << 32
         for batch in batches:
-            for a, b in slices(lengths(batch.column("text")), SLICE_BYTES):
+            for a, b in slices([max(n, SLICE_BYTES // SLICE_DOCS) for n in lengths(batch.column("text"))], SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 yield _count(part, batch_id, low, high)
                 batch_id += 1
@@ -90,22 +90,22 @@ def _count(part: pa.RecordBatch, batch_id: int, low: int, high: int) -> pa.Recor
         found.append(mine)
         sizes.append(len(mine))
         n_words.append(len(mine) if low == high == 1 else sum(map(len, _pieces(text, PIECE_BYTES))))
-    at = np.repeat(np.arange(len(found), dtype=np.int64), sizes)
-    pairs, n = np.unique(np.concatenate(found).astype(np.int64) * len(found) + at, return_counts=True)
-    feature, at = np.divmod(pairs, max(1, len(found)))
-    ends = np.searchsorted(feature, np.arange(len(ids) + 1))
-    totals = np.diff(np.concatenate([[0], np.cumsum(n)])[ends])
+    feature = np.concatenate(found)
+    order = np.argsort(feature, kind="stable")
+    at = np.repeat(np.arange(len(found), dtype="<u2"), sizes)[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=len(ids)))])
     # the row of the documents, then a row for each n-gram
-    none = lambda kind: pa.array([None] * len(ids), kind)
-    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))  # the first list is empty
+    none = pa.array([None] * len(ids), pa.list_(pa.int64()))
+    first = lambda x: pa.concat_arrays([pa.array([x], pa.list_(pa.int64())), none])
+    offsets = pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32))  # the first is empty
     column = {
         "batch": pa.array(np.full(len(ids) + 1, batch_id, dtype=np.int64)),
         "feature": pa.array([None, *ids], pa.binary()),
-        "total": pa.array(np.concatenate([[0], totals])),
-        "docs": pa.concat_arrays([pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), none(pa.list_(pa.int64()))]),
-        "at": pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))),
-        "n": pa.concat_arrays([pa.array([sizes], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(n.astype(np.int64)))]),
-        "words": pa.concat_arrays([pa.array([n_words], pa.list_(pa.int64())), none(pa.list_(pa.int64()))]),
+        "total": pa.array(np.concatenate([[0], np.diff(ends)])),
+        "places": pa.BinaryArray.from_buffers(pa.binary(), len(ids) + 1, [None, offsets, pa.py_buffer(at)]),
+        "docs": first(part.column("doc_id").to_pylist()),
+        "n": first(sizes),
+        "words": first(n_words),
     }
     return pa.RecordBatch.from_arrays([column[f.name].cast(f.type) for f in _COUNTS], schema=_COUNTS)
 
@@ -128,11 +128,19 @@ def feature_gains(corpus: DataFrame, target: DataFrame, buckets: int = BUCKETS)
 
 def weighted(counts: DataFrame, gains: DataFrame) -> DataFrame:
     """(doc_id, n_features, n_words, weight) of each document that ``counts`` were made of."""
+
+    def total(batch: pa.Table) -> pa.Table:
+        gain = batch.column("gain").combine_chunks().to_numpy()
+        places = batch.column("places").combine_chunks()
+        ends = np.frombuffer(places.buffers()[1], dtype=np.int32)[places.offset : places.offset + len(places) + 1] // 2
+        at = np.frombuffer(places.buffers()[2], dtype="<u2")[ends[0] : ends[-1]]
+        sums = np.bincount(at, np.repeat(gain, np.diff(ends)))  # whole numbers below 2**53
+        some = np.flatnonzero(np.bincount(at))
+        return pa.table({"batch": pa.array(np.full(len(some), batch.column("batch")[0].as_py())), "at": pa.array(some.astype(np.int32)), "weight": pa.array(sums[some].astype(np.int64))})
+
     docs = counts.where("feature is null").select("batch", F.posexplode(F.arrays_zip("docs", "n", "words")).alias("at", "d")).select("batch", "at", F.col("d.docs").alias("doc_id"), F.col("d.n").alias("n_features"), F.col("d.words").alias("n_words"))
-    known = counts.where("feature is not null").select("batch", "feature", "at", "n").join(gains, "feature").select("batch", "gain", "at", "n")
-    # dealt by batch, whose rows are bounded, so that the sums need no further exchange
-    each = known.repartition("batch").select("batch", "gain", F.explode(F.arrays_zip("at", "n")).alias("x"))
-    sums = each.groupBy("batch", F.col("x.at").alias("at")).agg(F.sum(F.col("gain") * F.col("x.n")).alias("weight"))
+    known = counts.where("feature is not null").select("batch", "feature", "places").join(gains, "feature").select("batch", "gain", "places")
+    sums = known.groupBy("batch").applyInArrow(total, "batch long, at int, weight long")  # a batch's rows are bounded
     return docs.join(sums, ["batch", "at"], "left").select("doc_id", "n_features", "n_words", F.coalesce("weight", F.lit(0)).alias("weight"))
 
 
