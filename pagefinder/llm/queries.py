@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embed_dedup, jaccard_join, licenses, line_dedup, lm_score, mixing, packing, quality, resample, sharding, token_store
+from . import conversations, decontaminate, embed_dedup, jaccard_join, licenses, line_dedup, lm_score, mixing, packing, quality, resample, sharding, token_store
 
 QUERIES = {
     "op1_decontamination": decontaminate.query,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_license_scan": licenses.query,
     "op11_mixing": mixing.query,
+    "op12_conversation_trie": conversations.query,
     "op13_importance_resample": resample.query,
 }
 
-ORACLE_SQL = {"op10_license_scan": licenses.ORACLE_SQL, "op13_importance_resample": resample.ORACLE_SQL}
+ORACLE_SQL = {"op10_license_scan": licenses.ORACLE_SQL, "op12_conversation_trie": conversations.ORACLE_SQL, "op13_importance_resample": resample.ORACLE_SQL}
