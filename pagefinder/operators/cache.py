@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete
+
 VERSION = "v10"
 
 
@@ -26,6 +28,9 @@ def misses(files: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def _whole(cached: DataFrame) -> DataFrame:
+    """Keys without errors, of blocks or of a store's ``keys``."""
+    if "n_errors" in cached.columns:
+        return cached.where("n_errors = 0").select("cache_key")
     if "ocr_error" not in cached.columns:
         return cached.select("cache_key").distinct()
     return cached.groupBy("cache_key").agg(F.count("ocr_error").alias("_n")).where("_n = 0").select("cache_key")
@@ -35,35 +40,65 @@ def store(blocks: DataFrame, path: str) -> None:
     """Appends blocks with cache_key and modified, under a stamp of this call; ``load`` takes the last stamp of each key.
 
     Files of the store are as many as the tasks that wrote them, whatever the number of keys.  A write that fails and is
-    repeated, as a stream's batch may be, leaves no key twice.
+    repeated, as a stream's batch may be, leaves no key twice.  Each call has a folder of its own, and its keys apart from its texts, so that to find out what is
+    stored reads no text.
     """
     stamp = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
-    blocks.withColumn("stored", F.lit(stamp)).write.mode("append").parquet(path)
+    blocks.write.parquet(f"{path}/{_BLOCKS}/stored={stamp}")
+    spark = blocks.sparkSession
+    error = F.count("ocr_error") if "ocr_error" in blocks.columns else F.lit(0).cast("long")
+    keys = spark.read.schema(blocks.schema).parquet(f"{path}/{_BLOCKS}/stored={stamp}").groupBy("cache_key").agg(error.alias("n_errors"))
+    keys.write.parquet(f"{path}/{_KEYS}/stored={stamp}")  # what has no keys yet, after a failure, is not seen
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of a store as they were written last for each cache_key."""
-    every = spark.read.parquet(path)
-    newest = every.groupBy("cache_key").agg(F.max("stored").alias("stored"))
-    return every.join(newest, ["cache_key", "stored"]).drop("stored")
+_BLOCKS, _KEYS = "blocks", "keys"
+
+
+def keys(spark: SparkSession, path: str) -> DataFrame:
+    """(cache_key, stored, n_errors): the last stamp of each key of a store."""
+    every = spark.read.schema("cache_key string, n_errors long, stored string").parquet(f"{path}/{_KEYS}")
+    return every.groupBy("cache_key").agg(F.max_by(F.struct("stored", "n_errors"), "stored").alias("k")).select("cache_key", "k.stored", "k.n_errors")
+
 
+#: Keys of replaced blocks that are sent to all tasks; more are joined by a shuffle.
+MOST_STALE = 1_000_000
 
-def latest(cached: DataFrame) -> DataFrame:
-    """Blocks of each path's last change only."""
-    last = cached.groupBy("path").agg(F.max("modified").alias("modified"))
-    return cached.join(last, ["path", "modified"])
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a store as they were written last for each cache_key.
+
+    Only keys are shuffled: blocks stay where they are, but for those whose key was written again later.  These are counted, and sent to all tasks if they are few.
+    """
+    every = spark.read.schema("cache_key string, n_errors long, stored string").parquet(f"{path}/{_KEYS}")
+    last = keys(spark, path).select("cache_key", F.col("stored").alias("last"))
+    stale = every.join(last, "cache_key").where("stored < last").select("cache_key", "stored")
+    stamps = [r.stored for r in every.select("stored").distinct().collect()]  # one a call of ``store``
+    blocks = spark.read.parquet(f"{path}/{_BLOCKS}").withColumn("stored", F.col("stored").cast("string")).where(F.col("stored").isin(stamps))
+    n = stale.limit(MOST_STALE + 1).count()
+    if n:
+        blocks = blocks.join(F.broadcast(stale) if n <= MOST_STALE else stale, ["cache_key", "stored"], "left_anti")
+    return blocks.drop("stored")
+
+
+def compact(spark: SparkSession, path: str, live: DataFrame | None = None) -> None:
+    """Rewrites a store to the last blocks of each key, and deletes the calls that it replaces.
+
+    With ``live`` (cache_key), keys that are not in it go, such as those of files that are gone.  New blocks are complete before the old ones are deleted, so that a
+    failure in between leaves a store that loads the same.
+    """
+    old = [r.stored for r in keys(spark, path).select("stored").union(spark.read.schema("stored string").parquet(f"{path}/{_KEYS}")).distinct().collect()]
+    blocks = load(spark, path)
+    store(blocks if live is None else blocks.join(live.select("cache_key").distinct(), "cache_key", "left_semi"), path)
+    for stamp in old:
+        for part in (_KEYS, _BLOCKS):
+            delete(spark, f"{path}/{part}/stored={stamp}")
 
 
 def entries(cached: DataFrame) -> DataFrame:
     return cached.agg(F.count_distinct("cache_key").alias("n_entries"))
 
 
-def clear(spark, path: str) -> None:
+def clear(spark: SparkSession, path: str) -> None:
     """Removes what ``store`` wrote, and nothing else that lies in the folder."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(where):
-        for s in fs.listStatus(where):
-            if s.getPath().getName().startswith("part-") or s.getPath().getName() == "_SUCCESS":
-                fs.delete(s.getPath(), True)
+    for part in (_KEYS, _BLOCKS):
+        delete(spark, f"{path}/{part}")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import NO_CHAPTER
 from ..sources import files as source
+from ..sources.shared import FileOpener, open_file, tidy, written
 from . import blocks as rules
 from .cache import cache_key, hits, misses
+from .cache import keys as cache_keys
+from .cache import load as cache_load
+from .cache import store as cache_store
 from .ocr import OcrEngine, PdfOpener, recognise
 
 _NO_BLOCK = -1
@@ -20,34 +24,64 @@ def file_order(files: DataFrame) -> DataFrame:
     return names.repartitionByRange("path").sortWithinPartitions("path").select("path", F.monotonically_increasing_id().alias("file_ord"))
 
 
-def refresh(files: DataFrame, cached: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, opener: PdfOpener | None = None) -> DataFrame:
+def refresh(files: DataFrame, cached: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, opener: PdfOpener | None = None, open_file: FileOpener = open_file) -> DataFrame:
     """The whole index of ``files``: cached blocks of files that have not changed, and fresh ones of the others.
 
-    Blocks of files that are gone, or of earlier versions, are left out; ``cached`` is what ``cache.load`` gives.
+    Blocks of files that are gone, or of earlier versions, are left out; ``cached`` is what ``cache.load`` gives.  Only the listing is compared; files to be read are opened by
+    path, so one that has not changed is never opened.  ``update`` does the same for a store, and writes only what is new.
     """
-    keyed = files.withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
+    keyed = _keyed(files)
     kept = cached.join(hits(keyed.select("cache_key"), cached), "cache_key", "left_semi").drop("file_ord")
-    fresh = build(files, pdf_reader, convert, ocr, cached, opener).drop("file_ord")
+    fresh = build(files, pdf_reader, convert, ocr, cached, opener, open_file=open_file).drop("file_ord")
     return kept.unionByName(fresh, allowMissingColumns=True).join(file_order(files), "path")
 
 
-def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, cached: DataFrame | None = None, opener: PdfOpener | None = None, seen: Observation | None = None) -> DataFrame:
+def update(files: DataFrame, store: str, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, opener: PdfOpener | None = None, seen: Observation | None = None, open_file: FileOpener = open_file) -> DataFrame:
+    """Brings the store up to ``files`` and gives their index, with file_ord.
+
+    Reads keys of the store, opens what is missing there, and appends just that; files that are gone drop out of the index, and out of the store with
+    ``cache.compact``.  ``seen`` counts what was opened.  A first run is the case of an empty store.
+    """
+    spark = files.sparkSession
+    stored = cache_keys(spark, store) if _exists(spark, store) else None
+    with tidy(spark):
+        cache_store(build(files, pdf_reader, convert, ocr, stored, opener, seen, open_file).drop("file_ord"), store)
+    now = cache_load(spark, store)
+    mine = _keyed(files).select("cache_key", "path").join(file_order(files), "path").drop("path")
+    return now.join(mine, "cache_key")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """The listing, without content, under cache keys."""
+    return source.listed(files).withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
+
+
+def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, cached: DataFrame | None = None, opener: PdfOpener | None = None, seen: Observation | None = None, open_file: FileOpener = open_file) -> DataFrame:
     """Blocks of files (of ``sources.files``) that ``cached`` doesn't hold, with cache_key, modified and file_ord.
 
-    A file that can't be read, or is too large to be loaded, is one block without text whose ocr_error says why; it
+    ``cached``: blocks or keys of a store.  With it the files to be read are found in the listing and opened by path; without it Spark loads the contents as it lists.
+    A file that can't be read, or that there is no reader or converter for, is one block without text whose ocr_error says why; it
     is read again next time.  A file that was read and has no blocks is one row without text whose block_ord is -1, so that
     the cache knows it; ``blocks_of`` leaves those out.  ``seen`` counts files, blocks and errors as they are made,
-    for progress reports.
+    for progress reports.  With ``ocr`` or ``opener`` what was read is written before it goes on, so that files are read once.
     """
-    files = files.withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
-    todo = files if cached is None else misses(files, cached)
-    out = rules.section_blocks(source.read_paragraphs(todo, convert))
-    if pdf_reader is not None:
-        out = out.unionByName(rules.page_blocks(source.read_pages(todo, pdf_reader)))
-    out = recognise(out, ocr, opener) if ocr is not None or opener is not None else out.withColumn("ocr_conf", F.lit(None).cast("double"))
-    read = F.col("suffix").isin(*(s for s in source.SUPPORTED if s != ".pdf" or pdf_reader is not None))
-    keys = todo.where(read).select("path", "cache_key", F.col("modificationTime").alias("modified"))
+    keyed = _keyed(files)
+    if cached is None:
+        todo, keys = files, keyed
+    else:
+        todo = keys = misses(keyed, cached)
+    out = rules.section_blocks(source.read_paragraphs(todo, convert, open_file)).unionByName(rules.page_blocks(source.read_pages(todo, pdf_reader, open_file)))
+    if ocr is not None or opener is not None:
+        out = recognise(written(out, "read"), ocr, opener)
+    else:
+        out = out.withColumn("ocr_conf", F.lit(None).cast("double"))
     none = {"file": rules.base_name(F.col("path")), "chapter": F.lit(NO_CHAPTER), "text": F.lit(""), "scanned": F.lit(False), "block_ord": F.lit(_NO_BLOCK)}
+    keys = keys.select("path", "cache_key", F.col("modificationTime").alias("modified"))
     out = keys.join(out, "path", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
     if seen is not None:
         out = out.observe(seen, F.approx_count_distinct("path").alias("n_files"), F.count_if(F.col("block_ord") != _NO_BLOCK).alias("n_blocks"), F.count("ocr_error").alias("n_errors"))

@@ -59,8 +59,9 @@ def _by_file(opener: PdfOpener, files: ExitStack) -> OcrEngine:
 def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpener | None = None) -> DataFrame:
     """Fills text, chapter, ocr_conf and ocr_error of scanned blocks without text; ``scanned`` stays.
 
-    Pages stream through one at a time, so an image is all that a task holds; an engine's error is
-    that page's.  Other blocks pass through as they are: one branch for all, so that what they come from is read once.  With an ``opener``, pages are brought together by file, in
+    Only these blocks go through Python, one page at a time, so an image is all that a task holds; an engine's error is
+    that page's.  Other blocks keep all their columns, ocr_conf included, and no text of theirs leaves Spark.  ``blocks`` is read for either kind, so what is dear to
+    make should be written first (``index.build`` does).  With an ``opener``, pages are brought together by file, in
     runs of ``PAGES_AN_OPENING``, and a file is opened once a run; a file that won't open is the error of its pages.
     """
     if (engine is None) == (opener is None):
@@ -74,11 +75,7 @@ def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpe
 
     def page_by_page(batch: pd.DataFrame, read: OcrEngine) -> pd.DataFrame:
         found, errors = [], []
-        for need, info, error in zip(batch._need, batch.render_info, batch.ocr_error, strict=True):
-            if not need:
-                found.append(None)
-                errors.append(error)
-                continue
+        for info in batch.render_info:
             try:
                 lines = read(info["pdf_path"], int(info["page_idx"]), int(info["dpi"]))
                 found.append([{"text": t, "conf": float(c)} for t, c in lines])
@@ -89,13 +86,14 @@ def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpe
         return batch.assign(_lines=found, ocr_error=errors)
 
     need = F.coalesce(F.col("scanned") & (F.col("text") == ""), F.lit(False))
-    todo = blocks.withColumn("_need", need)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in todo.schema.fields)
+    if "ocr_conf" not in blocks.columns:
+        blocks = blocks.withColumn("ocr_conf", F.lit(None).cast("double"))
+    todo = blocks.where(need)
     if opener is not None:
         page = F.col("render_info.page_idx")
-        todo = todo.repartition("render_info.pdf_path", F.floor(F.coalesce(page, F.lit(0)) / PAGES_AN_OPENING)).sortWithinPartitions("render_info.pdf_path", page)
+        todo = todo.repartition("render_info.pdf_path", F.floor(page / PAGES_AN_OPENING)).sortWithinPartitions("render_info.pdf_path", page)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
     done = todo.mapInPandas(run, f"{schema}, _lines {LINES}")
-    own = lambda mine, other: F.when(F.col("_need"), mine).otherwise(other)
-    done = done.withColumn("text", own(lines_text(F.col("_lines")), F.col("text"))).withColumn("chapter", own(override_chapter(F.col("chapter"), F.col("text")), F.col("chapter")))
-    conf = F.when(F.col("_need") & F.col("ocr_error").isNull(), lines_confidence(F.col("_lines")))
-    return done.withColumn("ocr_conf", conf).drop("_lines", "_need")
+    done = done.withColumn("text", lines_text(F.col("_lines"))).withColumn("chapter", override_chapter(F.col("chapter"), F.col("text")))
+    done = done.withColumn("ocr_conf", F.when(F.col("ocr_error").isNull(), lines_confidence(F.col("_lines")))).drop("_lines")
+    return blocks.where(~need).unionByName(done)

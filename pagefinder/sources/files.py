@@ -1,8 +1,9 @@
 """Files as raw pages and paragraphs.
 
-``binaryFile`` lists and reads; suffixes are matched after the scan, whatever their case.  It skips names
-that begin with ``_`` or ``.``.  A file that cannot be read gives one row with ``error`` set, and
-the others go on.
+``binaryFile`` lists; suffixes are matched after the scan, whatever their case.  It skips names
+that begin with ``_`` or ``.``.  A listing without content costs no file's opening: readers then open, in their tasks, the files
+that are left by path, as streams.  Content that Spark loads serves files up to ``MOST_BYTES``; larger ones are opened by path as well.
+A file that cannot be read gives one row with ``error`` set, and the others go on.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import suffix
 from ..schema import RAW_PAGES, RAW_PARAGRAPHS
+from .shared import FileOpener, open_file
 
 SUPPORTED = (".pdf", ".docx", ".doc")
-#: Files above this are listed with an error instead of being loaded.
+#: Files above this are not loaded into a row but opened by path.
 MOST_BYTES = 512 * 1024 * 1024
+LISTING = ["path", "modificationTime", "length", "suffix"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 #: (path, content) -> (producer, [(text, number of images, has text blocks)]) a page.
@@ -51,36 +55,72 @@ def supported(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("suffix", suffix(F.col(path))).where(F.col("suffix").isin(*SUPPORTED))
 
 
-def oversized(files: DataFrame) -> DataFrame:
-    """(path, suffix, error) of files that are too large to be loaded; their content is not touched."""
-    error = F.format_string("file of %d bytes is above the limit of %d", F.col("length"), F.lit(MOST_BYTES))
-    return files.where(F.col("length") > MOST_BYTES).select("path", "suffix", error.alias("error"))
+def listed(files: DataFrame) -> DataFrame:
+    """Files without content: Spark reads a content only where a plan needs it."""
+    return files.select(*LISTING)
 
 
-def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
-    """(text, style name) of the body's paragraphs; tables, headers and footnotes are not read."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+def _handed(files: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(path, suffix, content) of some kinds of files; content is null for those to be opened by path."""
+    known = files.where(F.col("suffix").isin(*kinds))
+    by_path = known.select("path", "suffix", F.lit(None).cast("binary").alias("content"))
+    if "content" not in files.columns:
+        return by_path
+    small = known.where(F.col("length") <= MOST_BYTES).select("path", "suffix", "content")
+    return small.unionByName(known.where(F.col("length") > MOST_BYTES).select("path", "suffix", F.lit(None).cast("binary").alias("content")))
+
+
+def _paragraph_text(p: ElementTree.Element) -> str:
+    """Text of a paragraph's own runs: text boxes have paragraphs of their own, and fallbacks say the same again."""
+    out, todo = [], [p]
+    while todo:
+        x = todo.pop()
+        if x.tag == f"{_W}t":
+            out.append(x.text or "")
+        elif x.tag == f"{_W}tab" and not x.attrib:
+            out.append("\t")
+        elif x.tag in (f"{_W}br", f"{_W}cr"):
+            out.append("\n")
+        elif x.tag not in _OWN_TEXT:
+            todo.extend(reversed(x))
+    return "".join(out)
+
+
+_OWN_TEXT = (f"{_W}txbxContent", "{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback")
+
+
+def docx_paragraphs(content: bytes | BinaryIO) -> list[tuple[str, str]]:
+    """(text, style name) of the body's paragraphs; tables, headers, footnotes and text boxes are not read.
+
+    A file is read as a stream: the archive's other parts (images) are never loaded, and paragraphs go as soon as they are read.
+    """
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         names = {}
         if "word/styles.xml" in z.namelist():
             for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
                 name = s.find(f"{_W}name")
                 names[s.get(f"{_W}styleId")] = name.get(f"{_W}val") if name is not None else ""
-    out = []
-    for p in body.findall(f"{_W}p") if body is not None else []:
-        text = ""
-        for x in p.iter():
-            text += (x.text or "") if x.tag == f"{_W}t" else "\t" if x.tag == f"{_W}tab" and not x.attrib else "\n" if x.tag in (f"{_W}br", f"{_W}cr") else ""
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        key = style.get(f"{_W}val") if style is not None else ""
-        out.append((text, names.get(key, key) or ""))
+        out, above = [], []
+        with z.open("word/document.xml") as xml:
+            for event, x in ElementTree.iterparse(xml, ("start", "end")):
+                if event == "start":
+                    above.append(x)
+                    continue
+                above.pop()
+                if x.tag == f"{_W}p" and above and above[-1].tag == f"{_W}body":
+                    style = x.find(f"{_W}pPr/{_W}pStyle")
+                    key = style.get(f"{_W}val") if style is not None else ""
+                    out.append((_paragraph_text(x), names.get(key, key) or ""))
+                if above and above[-1].tag == f"{_W}body":
+                    above[-1].remove(x)
     return out
 
 
-def read_paragraphs(files: DataFrame, convert: DocConverter | None = None) -> DataFrame:
+def read_paragraphs(files: DataFrame, convert: DocConverter | None = None, opener: FileOpener = open_file) -> DataFrame:
     """Paragraphs of .docx files, and of .doc files that are .docx inside or that ``convert`` turns into it.
 
-    A .doc that is no .docx inside and that ``convert`` (such as ``sources.convert.office_converter``) gives nothing for has no rows; a conversion that fails is that file's error.
+    A .doc that is no .docx inside and that ``convert`` gives nothing for, or that there is no ``convert`` for, is an error, so that it is tried again when
+    there is one; a conversion that fails is that file's error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,31 +128,51 @@ def read_paragraphs(files: DataFrame, convert: DocConverter | None = None) -> Da
             for path, kind, content in zip(batch.path, batch.suffix, batch.content, strict=True):
                 rows, error = [], None
                 try:
-                    rows = docx_paragraphs(content)
+                    if content is not None:
+                        rows = docx_paragraphs(content)
+                    else:
+                        with opener(path) as file:
+                            rows = docx_paragraphs(file)
                 except Exception as e:  # any damage of one file is that file's error
-                    try:
-                        other = convert(content) if kind == ".doc" and convert else None
-                        rows = docx_paragraphs(other) if other is not None else []
-                    except Exception as f:  # nor does a damaged or failed conversion stop the others
-                        error = f"{type(f).__name__}: {f}"
-                    if kind == ".docx":
-                        error = f"{type(e).__name__}: {e}"
+                    error = f"{type(e).__name__}: {e}"
+                    if kind == ".doc":
+                        rows, error = converted(path, content)
                 out = [(path, i, t, s, None) for i, (t, s) in enumerate(rows)] + ([(path, None, None, None, error)] if error else [])
                 frame = pd.DataFrame(out, columns=["path", "para_idx", "text", "style", "error"])
                 yield frame.astype({"para_idx": "Int32"})
 
-    known = F.col("suffix").isin(".docx", ".doc")
-    fine = files.where(known & (F.col("length") <= MOST_BYTES)).select("path", "suffix", "content").mapInPandas(run, RAW_PARAGRAPHS)
-    return fine.unionByName(oversized(files).where(known).select("path", "error"), allowMissingColumns=True)
+    def converted(path: str, content: bytes | None) -> tuple[list[tuple[str, str]], str | None]:
+        try:
+            if convert is None:
+                return [], "no converter for .doc files"
+            if content is None:
+                with opener(path) as file:
+                    content = file.read()
+            other = convert(content)
+            return ([], "no converter for .doc files") if other is None else (docx_paragraphs(other), None)
+        except Exception as e:  # nor does a damaged or failed conversion stop the others
+            return [], f"{type(e).__name__}: {e}"
+
+    return _handed(files, (".docx", ".doc")).mapInPandas(run, RAW_PARAGRAPHS)
 
 
-def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
-    """Raw pages of .pdf files by a reader that the caller brings; rules apply to them as columns later."""
+def read_pages(files: DataFrame, reader: PdfReader | None, opener: FileOpener = open_file) -> DataFrame:
+    """Raw pages of .pdf files by a reader that the caller brings; rules apply to them as columns later.
+
+    Without a reader every PDF is an error, so that it is read when there is one.
+    """
+    if reader is None:
+        missing = files.where(F.col("suffix") == ".pdf").select("path", F.lit("no reader for .pdf files").alias("error"))
+        none = files.sparkSession.createDataFrame([], RAW_PAGES)
+        return none.unionByName(missing, allowMissingColumns=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch.path, batch.content, strict=True):
                 try:
+                    if content is None:
+                        with opener(path) as file:
+                            content = file.read()
                     producer, pages = reader(path, content)
                     out = [(path, producer, i, t, n, b, None) for i, (t, n, b) in enumerate(pages)]
                 except Exception as e:
@@ -120,6 +180,4 @@ def read_pages(files: DataFrame, reader: PdfReader) -> DataFrame:
                 frame = pd.DataFrame(out, columns=["path", "producer", "page_idx", "raw_text", "n_images", "has_text_block", "error"])
                 yield frame.astype({"page_idx": "Int32", "n_images": "Int32", "has_text_block": "boolean"})
 
-    known = F.col("suffix") == ".pdf"
-    fine = files.where(known & (F.col("length") <= MOST_BYTES)).select("path", "content").mapInPandas(run, RAW_PAGES)
-    return fine.unionByName(oversized(files).where(known).select("path", "error"), allowMissingColumns=True)
+    return _handed(files, (".pdf",)).mapInPandas(run, RAW_PAGES)

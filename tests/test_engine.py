@@ -46,15 +46,96 @@ def blocks(spark, rows):
     return spark.createDataFrame([(f, i + 1, "c", t, i) for i, (f, t) in enumerate(rows)], "file string, page int, chapter string, text string, block_ord long")
 
 
-def test_large_files_are_listed(spark, folder, monkeypatch):
-    monkeypatch.setattr(source, "MOST_BYTES", 1)
+def logged_opener(log):
+    def opener(path):  # local, so that workers need not import this file
+        with open(log, "a") as f:
+            f.write(path.rsplit("/", 1)[1] + "\n")
+        return open(path.removeprefix("file:"), "rb")
+
+    return opener
+
+
+def test_large_files_are_opened_by_path(spark, folder, monkeypatch):
     files = source.scan_folder(spark, str(folder / "in"))
-    reader = make_reader()
-    want = {r.path for r in files.collect()}
-    read = source.read_paragraphs(files).select("path", "error").union(source.read_pages(files, reader).select("path", "error"))
-    assert {r.path for r in read.where("error like '%above the limit%'").collect()} == want and read.count() == len(want)
-    built = index.build(files, reader).collect()
-    assert {r.path for r in built} == want and all(r.text == "" and "above the limit" in r.ocr_error for r in built)
+    reader, want = make_reader(), None
+    for most in (source.MOST_BYTES, 1):
+        monkeypatch.setattr(source, "MOST_BYTES", most)
+        got = sorted((r.path, r.block_ord, r.text, r.ocr_error) for r in index.build(files, reader).collect())
+        want = want or got
+    assert got == want and any("steel and steel" in r[2] for r in got)
+
+
+def test_unchanged_files_are_not_opened(spark, folder):
+    store, log = str(folder / "cache"), folder / "opened"
+    how = {"pdf_reader": make_reader(), "open_file": logged_opener(str(log))}
+    scan = lambda: source.scan_folder(spark, str(folder / "in"))
+    (folder / "in/broken.docx").unlink()
+    first = index.update(scan(), store, **how).collect()
+    assert {r.path.rsplit("/", 1)[1] for r in first} == {"c.DOCX", "B.PDF", "blank.docx"} and len(first) == 5
+    log.write_text("")
+    files = scan()
+    second = index.update(files, store, **how)
+    assert log.read_text() == "" and sorted(second.collect()) == sorted(first)
+    plan = index.build(files, cached=cache.keys(spark, store), **how)._jdf.queryExecution().sparkPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan binaryFile" in x]
+    assert scans and not any("content#" in x.split("Batched")[0] for x in scans)
+    docx(folder / "in/sub/c.DOCX", ["changed"])
+    os.utime(folder / "in/sub/c.DOCX", (1, 1))
+    (folder / "in/B.PDF").unlink()
+    got = index.update(scan(), store, **how)
+    assert log.read_text().split() == ["c.DOCX"] and sorted(r.text for r in got.collect()) == ["", "changed"]
+    loaded = cache.load(spark, store)
+    assert loaded.where("text = 'changed'").count() == 1 and "Join" not in loaded._jdf.queryExecution().optimizedPlan().toString()
+    cache.compact(spark, store, got)
+    assert sorted(r.text for r in cache.load(spark, store).collect()) == ["", "changed"]
+    assert sorted(r.text for r in index.update(scan(), store, **how).collect()) == ["", "changed"] and log.read_text().split() == ["c.DOCX"]
+
+
+def test_files_without_reader_are_tried_again(spark, folder):
+    (folder / "in/old.doc").write_bytes(b"old")
+    store = str(folder / "cache")
+    scan = source.scan_folder(spark, str(folder / "in"))
+    got = {r.file: r.ocr_error for r in index.update(scan, store).collect() if r.ocr_error}
+    assert got["B.PDF"] == "no reader for .pdf files" and got["old.doc"] == "no converter for .doc files" and len(got) == 3
+    docx(folder / "as.docx", ["from old"])
+    content = (folder / "as.docx").read_bytes()
+    later = index.update(scan, store, make_reader(), lambda old: content)
+    assert {r.text for r in later.where("file = 'old.doc'").collect()} == {"from old"} and later.where("file = 'B.PDF'").count() == 2
+    cache.compact(spark, store)
+    assert {r.text for r in cache.load(spark, store).where("file = 'old.doc'").collect()} == {"from old"}
+
+
+def test_text_boxes(tmp_path):
+    box = "<w:txbxContent><w:p><w:r><w:t>inside</w:t></w:r></w:p></w:txbxContent>"
+    mc = "http://schemas.openxmlformats.org/markup-compatibility/2006"
+    body = f'<w:p><w:r><w:t>before</w:t></w:r><w:r><mc:AlternateContent xmlns:mc="{mc}"><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}<w:t>again</w:t></mc:Fallback></mc:AlternateContent></w:r><w:r><w:t> after</w:t><w:br/><w:tab/><w:t>x</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/>'
+    with zipfile.ZipFile(tmp_path / "t.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>')
+    want = [("before after\n\tx", ""), ("", "")]
+    assert source.docx_paragraphs((tmp_path / "t.docx").read_bytes()) == want
+    with open(tmp_path / "t.docx", "rb") as file:
+        assert source.docx_paragraphs(file) == want
+
+
+def test_recognise_leaves_the_rest(spark):
+    """Blocks that need no OCR keep their confidence, don't enter Python, and no task gets them all."""
+    rows = [(f"f{k % 3}", k % 5 == 0, "" if k % 10 == 0 else f"text {k}", (f"f{k % 3}", k, 300) if k % 5 == 0 else None, "c", None, 0.9 if k % 2 else None) for k in range(4000)]
+    b = spark.createDataFrame(rows, "file string, scanned boolean, text string, render_info struct<pdf_path:string,page_idx:int,dpi:int>, chapter string, ocr_error string, ocr_conf double").repartition(8)
+
+    def opener(path):
+        from contextlib import contextmanager
+
+        @contextmanager
+        def opened():
+            yield lambda page_idx, dpi: [(f"read {page_idx}", 0.25)]
+
+        return opened()
+
+    got = ocr.recognise(b, opener=opener)
+    done = {r.text: r.ocr_conf for r in got.collect()}
+    assert len(done) == 4000 and done["read 40"] == 0.25 and done["text 41"] == 0.9 and done["text 42"] is None and sum(t.startswith("read") for t in done) == 400
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 1000
 
 
 def test_index_and_cache(spark, folder):
