@@ -33,7 +33,9 @@ def _ranked(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def locate(blocks: DataFrame, query: str, limit: int = MOST_RESULTS, seen: Observation | None = None) -> DataFrame:
-    """(file, page, page_label, chapter, snippet, reason, score, block_ord) in order of rank; file_ord too if blocks have it.
+    """(file, page, page_label, chapter, snippet, reason, score, rank_in_file, block_ord) in order of rank; file_ord too if blocks have it.
+
+    ``report.ranked`` numbers these rows by ``rank_in_file``, score and place.
 
     A query without keywords finds nothing.  Page is null for blocks without pages; page_label has a dash then.
     ``seen`` counts blocks, scans with and without text, and candidates while the query runs; it keeps the
@@ -46,7 +48,7 @@ def locate(blocks: DataFrame, query: str, limit: int = MOST_RESULTS, seen: Obser
         blocks = blocks.observe(seen, F.count("*").alias("n_blocks"), F.count_if(scan & text).alias("n_scanned_with_text"), F.count_if(scan & ~text).alias("n_scanned_no_text"), F.count_if(text & contains_any(F.col("text"), words)).alias("n_candidates"))
     hits = scored(blocks, words).select("file", "page", "chapter", F.substring("text", 1, SNIPPET).alias("snippet"), "score", *place)
     best_first = _ranked(hits, [], limit).orderBy(F.col("rank_in_file") > 1, F.desc("score"), *place).limit(limit)
-    return best_first.select("file", F.col("page").cast("string").alias("page"), F.coalesce(F.col("page").cast("string"), F.lit("—")).alias("page_label"), "chapter", "snippet", F.lit(REASON).alias("reason"), "score", *place)
+    return best_first.select("file", F.col("page").cast("string").alias("page"), F.coalesce(F.col("page").cast("string"), F.lit("—")).alias("page_label"), "chapter", "snippet", F.lit(REASON).alias("reason"), "score", "rank_in_file", *place)
 
 
 def locate_many(blocks: DataFrame, queries: dict[int, str], limit: int = MOST_RESULTS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .locate import scored
@@ -31,9 +31,10 @@ def ocr_errors(blocks: DataFrame) -> DataFrame:
 
 
 def file_hits(blocks: DataFrame, words: list[str]) -> DataFrame:
-    """(file, n_hits, first_ord): most hits first, ties by first appearance."""
-    per = scored(blocks, words).groupBy("file").agg(F.sum("score").alias("n_hits"), F.min("block_ord").alias("first_ord"))
-    return per.orderBy(F.desc("n_hits"), "first_ord")
+    """(file, n_hits, first_ord): most hits first, ties by first appearance: by the order of files, where blocks have it, then by the place in the file."""
+    place = [c for c in ("file_ord", "block_ord") if c in blocks.columns]
+    per = scored(blocks, words).groupBy("file").agg(F.sum("score").alias("n_hits"), F.min(F.struct(*place)).alias("first"))
+    return per.orderBy(F.desc("n_hits"), "first").select("file", "n_hits", F.col("first.block_ord").alias("first_ord"))
 
 
 def group_results(results: DataFrame) -> DataFrame:
@@ -49,6 +50,10 @@ def totals(results: DataFrame) -> DataFrame:
 
 def with_rank(results: DataFrame, order: list[Column]) -> DataFrame:
     """Adds result_rank to an ordered, limited result."""
-    from pyspark.sql import Window
-
     return results.withColumn("result_rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def ranked(results: DataFrame) -> DataFrame:
+    """Adds result_rank to what ``locate`` found, whose rows are limited."""
+    place = [F.col(c) for c in ("file_ord", "block_ord") if c in results.columns]
+    return with_rank(results, [F.col("rank_in_file") > 1, F.desc("score"), *place])

@@ -53,14 +53,14 @@ def plain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as paragraphs, every fifth a heading."""
+    """Lines of documents as paragraphs, every fifth under a heading mark."""
     d = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    head = F.concat(F.lit("第"), (F.col("pos") + 1).cast("string"), F.lit("章 "), F.substring("line", 1, 30))
+    head = F.concat(F.lit("第"), (F.col("pos") + 1).cast("string"), F.lit("章 "), F.col("line"))
     return d.select("doc_id", "pos", F.when((F.col("doc_id") + F.col("pos")) % 5 == 0, head).otherwise(F.col("line")).alias("text"))
 
 
 SQL_LINES = """l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-lines AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN '第' || (pos + 1) || '章 ' || substring(line, 1, 30) ELSE line END AS text FROM l0)"""
+lines AS (SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN '第' || (pos + 1) || '章 ' || line ELSE line END AS text FROM l0)"""
 SQL_BLOCKS = f"""blocks AS (SELECT source AS file, source || '/' || doc_id AS path, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, '{NO_CHAPTER}' AS chapter, coalesce(text, '') AS text, doc_id % 5 = 0 AS scanned, doc_id AS block_ord FROM documents)"""
 _blank, _numeral = r"[\s\x1c-\x1f]", "[一二三四五六七八九十百千零0-9]"
 
@@ -194,7 +194,7 @@ def block_score(spark, sf_dir):
 
 @query(f"WITH {SQL_RANKED} SELECT file, CAST(page AS VARCHAR) AS page, '{NO_CHAPTER}' AS chapter, snippet, '关键词命中' AS reason, score, block_ord FROM final")
 def locate_ranked(spark, sf_dir):
-    return locate.locate(plain_blocks(spark, sf_dir), QUERY).drop("page_label")
+    return locate.locate(plain_blocks(spark, sf_dir), QUERY).drop("page_label", "rank_in_file")
 
 
 _BATCH = {1: "the 和 and", 2: "de 以及 la", 3: "und 在哪里"}
@@ -232,10 +232,7 @@ def scanned_files(spark, sf_dir):
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = locate.locate(plain_blocks(spark, sf_dir), QUERY)
-    best = Window.partitionBy("file").orderBy(F.desc("score"), "block_ord")
-    ranked = found.withColumn("_rn", F.row_number().over(best))
-    return report.with_rank(ranked, [F.col("_rn") > 1, F.desc("score"), F.col("block_ord")])
+    return report.ranked(locate.locate(plain_blocks(spark, sf_dir), QUERY))
 
 
 @query(f"WITH {SQL_RANKED} SELECT file, count(*) AS n_hits, string_agg(CAST(page AS VARCHAR), '、' ORDER BY result_rank) AS pages, CAST(min(result_rank) AS INT) AS first_rank FROM final GROUP BY file")
@@ -304,11 +301,13 @@ def cache_entries(spark, sf_dir):
     return cache.entries(_cached(spark, sf_dir))
 
 
-@query("""SELECT name, coalesce(g.value, d.value) AS value FROM (SELECT * FROM (VALUES ('model', 'm1'), ('extra', 'x'), ('api_key', NULL)) v(name, value)) g
-FULL JOIN (SELECT * FROM (VALUES ('base_url', ''), ('api_key', ''), ('model', ''), ('cache_dir', '')) v(name, value)) d USING (name)""")
+@query("""SELECT coalesce(g.name, d.name) AS name, coalesce(g.value, d.value) AS value FROM (SELECT DISTINCT source || '/' || lang AS name, CASE WHEN source < 'src2' THEN NULL ELSE lang END AS value FROM documents WHERE source || lang IS NOT NULL) g
+FULL JOIN (SELECT DISTINCT source || '/en' AS name, 'default' AS value FROM documents WHERE source IS NOT NULL) d ON g.name = d.name""")
 def config_merge(spark, sf_dir):
-    given = spark.createDataFrame([("model", "m1"), ("extra", "x"), ("api_key", None)], "name string, value string")
-    return config.merge(given, spark.createDataFrame(list(config.DEFAULTS.items()), "name string, value string"))
+    """A setting for each source and language under defaults for each source."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null").select("source", "lang").distinct()
+    given = d.where("lang is not null").select(F.concat_ws("/", "source", "lang").alias("name"), F.when(F.col("source") >= "src2", F.col("lang")).alias("value"))
+    return config.merge(given, d.select(F.concat(F.col("source"), F.lit("/en")).alias("name"), F.lit("default").alias("value")).distinct())
 
 
 # --- functions that callers bring, with fixed stand-ins ---
@@ -346,12 +345,18 @@ def docx_read(spark, sf_dir):
 
 @query(
     f"""WITH {SQL_BLOCKS} SELECT file, CAST(page AS INT) AS page, CASE WHEN scanned THEN substring('第' || page || '章 ' || path, 1, 60) ELSE chapter END AS chapter,
-CASE WHEN scanned THEN '第' || page || '章 ' || path || chr(10) || 'line' ELSE text END AS text, scanned, CASE WHEN scanned THEN CAST(0.75 AS DOUBLE) END AS ocr_conf, CAST(NULL AS VARCHAR) AS ocr_error FROM blocks"""
+CASE WHEN scanned THEN '第' || page || '章 ' || path || CASE WHEN text <> '' THEN chr(10) || text ELSE '' END ELSE text END AS text, scanned, CASE WHEN scanned THEN CASE WHEN text <> '' THEN 0.75 ELSE CAST(0.5 AS DOUBLE) END END AS ocr_conf, CAST(NULL AS VARCHAR) AS ocr_error FROM blocks"""
 )
 def ocr_udf(spark, sf_dir):
-    """Every fifth document as a scan that a stand-in engine recognises; the others keep their texts."""
-    b = blocks(spark, sf_dir).withColumn("text", F.when(F.col("scanned"), "").otherwise(F.col("text"))).withColumn("render_info", F.struct(F.col("path").alias("pdf_path"), F.col("page").alias("page_idx"), F.lit(300).alias("dpi"))).withColumn("ocr_error", F.lit(None).cast("string"))
-    engine = lambda path, page, dpi: [(f"第{page}章 {path}", 0.5), ("", 0.1), ("line", 1.0)]
+    """Every fifth document as a scan, whose text a stand-in engine finds where the rendering says; the others keep their texts."""
+    b = blocks(spark, sf_dir)
+    image = F.struct(F.when(F.col("scanned"), F.concat_ws("\n", "path", "text")).alias("pdf_path"), F.col("page").alias("page_idx"), F.lit(300).alias("dpi"))
+    b = b.withColumn("render_info", image).withColumn("text", F.when(F.col("scanned"), "").otherwise(F.col("text"))).withColumn("ocr_error", F.lit(None).cast("string"))
+
+    def engine(image, page, dpi):
+        path, text = image.split("\n", 1)
+        return [(f"第{page}章 {path}", 0.5), ("", 0.1), (text, 1.0)]
+
     return ocr.recognise(b, engine).select("file", "page", "chapter", "text", "scanned", "ocr_conf", "ocr_error")
 
 

@@ -1,7 +1,7 @@
 """A folder watched as a stream: new files are indexed in micro-batches.
 
 Spark's file source knows paths, not versions: a file that is changed in place is not read again by the
-stream.  Run ``operators.index.refresh`` over the folder for these; it reads just what has changed."""
+stream.  Run ``operators.index.update`` over the folder and the same store for these: it compares listings and opens just what has changed."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from ..sources.files import supported
 
 
 def watch(spark: SparkSession, folder: str, store: str, checkpoint: str, build: Callable[[DataFrame], DataFrame] = index.build, **trigger) -> StreamingQuery:
-    """Starts a query that writes blocks of arriving files to the cache at ``store``; a batch that is
-    repeated after a failure replaces its own partitions."""
+    """Starts a query that writes blocks of arriving files to the cache at ``store``; of a batch that is
+    repeated after a failure, ``cache.load`` takes the last writing."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     write = lambda batch, _: cache.store(build(supported(batch)), store)
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
