@@ -7,6 +7,7 @@ from doc_id alike in both engines; short, garbled and scanned cases are in the t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.keywords import keywords_column
 from ..operators import blocks as B
-from ..operators import cache, config, locate, ocr, polish, report
+from ..operators import cache, config, locate, ocr, polish, query_table, report, substring_index
 from ..schema import NO_CHAPTER
+from ..sources.shared import delete, shared_folder
 
 QUERY = "the and that"
 WORDS = ["the", "and", "that"]
@@ -211,6 +213,53 @@ def locate_batch(spark, sf_dir):
     return locate.locate_many(plain_blocks(spark, sf_dir), _BATCH)
 
 
+RARE, RARE_WORDS = "heing 以及 schst 和 laou", ["heing", "schst", "laou"]
+
+
+def _index(spark: SparkSession, sf_dir: str, **how) -> str:
+    """The documents under a new substring index in the shared folder."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    substring_index.build(plain_blocks(spark, sf_dir), path, **how)
+    return path
+
+
+def _limited(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """A limited result, without the index that it comes from."""
+    out = spark.createDataFrame(found.drop("page_label", "rank_in_file").collect(), found.drop("page_label", "rank_in_file").schema)
+    delete(spark, path)
+    return out
+
+
+def _sql_ranked(words: list[str]) -> str:
+    return SQL_RANKED.replace(sql_score("text", WORDS), sql_score("text", words)) + f" SELECT file, CAST(page AS VARCHAR) AS page, '{NO_CHAPTER}' AS chapter, snippet, '关键词命中' AS reason, score, block_ord FROM final"
+
+
+@query(f"WITH {_sql_ranked(RARE_WORDS)}")
+def locate_indexed(spark, sf_dir):
+    """Rare words by a trigram index that is built over all documents."""
+    path = _index(spark, sf_dir)
+    return _limited(spark, path, substring_index.locate(spark, path, RARE))
+
+
+@query(f"WITH {_sql_ranked(WORDS)}")
+def locate_top(spark, sf_dir):
+    """Frequent words, segment by segment of the index, as far as scores can matter."""
+    path = _index(spark, sf_dir, segment_blocks=256)
+    return _limited(spark, path, substring_index.locate_top(spark, path, QUERY))
+
+
+@query("""WITH t AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[一-龥]+|[A-Za-z0-9._%-]+')) AS word FROM benchmark),
+w AS (SELECT DISTINCT word FROM t), c AS (SELECT word, source AS file, doc_id, (length(text) - length(replace(text, word, ''))) // length(word) AS n FROM w JOIN documents ON contains(text, word)),
+s AS (SELECT query_id, file, doc_id, CAST(sum(n) AS BIGINT) AS score FROM t JOIN c USING (word) GROUP BY query_id, file, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, file ORDER BY score DESC, doc_id) AS rn FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn > 1, score DESC, doc_id) AS result_rank FROM r)
+SELECT query_id, CAST(result_rank AS INT) AS result_rank, file, doc_id AS page, score, doc_id AS block_ord FROM f WHERE result_rank <= 500""")
+def locate_table(spark, sf_dir):
+    """Each text of the benchmark as a query over all documents."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return query_table.locate_table(plain_blocks(spark, sf_dir), b)
+
+
 @query(f"""SELECT file, CAST(sum(score) AS BIGINT) AS n_hits, min(block_ord) AS first_ord FROM (SELECT source AS file, doc_id AS block_ord, {sql_score('text', WORDS)} AS score FROM documents)
 WHERE score > 0 GROUP BY file""")
 def file_hit_counts(spark, sf_dir):
