@@ -151,11 +151,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window_words: int = WIN
     the ids, as strings in order, of the items with an occurring window).
 
     Null and empty texts have no words and no hits; a null or wordless item matches nothing; an
-    item id that repeats counts once; a null item id is named ``null``.  Rows of equal doc_id are
+    item id that repeats counts once, and so do equal items, which are made distinct before any come to the driver; a null item id is named ``null``.  Rows of equal doc_id are
     judged apart.  Other columns are not looked at; with ``carry`` a struct ``row`` holds them all.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     now = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit_bits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
@@ -217,7 +217,10 @@ def _joiner(block, prefix):
 
 
 def without_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with all their columns; no join."""
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns; no join.
+
+    Null and empty texts stay; equal rows stay or go alike; columns may have any names, as they are carried in a struct.
+    """
     return decontaminate(docs, benchmark, carry=True).where("n_hit = 0").select("row.*")
 
 

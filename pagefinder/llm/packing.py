@@ -138,19 +138,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, vocabulary:
     """A row a piece: where it starts in its document, and its sequence and offset there.
 
     Every document has at least its end id, so null and empty texts give a piece of one token.
-    Rows of equal doc_id are packed apart; pieces of equal length, id and content take each
-    other's places.  Tokens of one length may be any share of the input: they are ranked in
-    groups of about ``RANK_ROWS`` dealt by hash.
+    Rows of equal or null doc_id are packed apart; other columns are not read.  Pieces of one length may be any share of the input: they are ranked in
+    groups of about ``RANK_ROWS``, dealt by the hash of a number that each piece gets when it is written, so groups are even whatever ids repeat.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, end_id, vocabulary, most_words), "pieces")
+    cut = materialize(pieces(docs, capacity, end_id, vocabulary, most_words).withColumn("_i", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     at = spark.sparkContext.broadcast(places(plan(counts, capacity)))
     groups = max(1, -(-max(counts.values(), default=1) // RANK_ROWS))
-    cut = cut.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    cut = cut.withColumn("_g", F.pmod(F.xxhash64("_i"), F.lit(groups)))
     sizes = cut.groupBy("length", "_g").agg(F.count("*").alias("_n"))
     before = sizes.select("length", "_g", (F.sum("_n").over(Window.partitionBy("length").orderBy("_g")) - F.col("_n")).alias("_before"))
-    ranked = cut.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = cut.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_g").orderBy("_i")) - 1)
     ranked = ranked.join(before, ["length", "_g"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_r") + F.col("_before")).alias("rank"))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
