@@ -14,6 +14,7 @@ from .cache import keys as cache_keys
 from .cache import load as cache_load
 from .cache import store as cache_store
 from .ocr import OcrEngine, PdfOpener, recognise
+from .runs import ROWS
 
 _NO_BLOCK = -1
 
@@ -68,18 +69,18 @@ def build(files: DataFrame, pdf_reader: source.PdfReader | None = None, convert:
     A file that can't be read, or that there is no reader or converter for, is one block without text whose ocr_error says why; it
     is read again next time.  A file that was read and has no blocks is one row without text whose block_ord is -1, so that
     the cache knows it; ``blocks_of`` leaves those out.  ``seen`` counts files, blocks and errors as they are made,
-    for progress reports.  With ``ocr`` or ``opener`` what was read is written before it goes on, so that files are read once.
+    for progress reports.  What was read is written to the shared folder before it goes on, so that files are read once, and files of any
+    length are shared by tasks after that.
     """
     keyed = _keyed(files)
     if cached is None:
         todo, keys = files, keyed
     else:
         todo = keys = misses(keyed, cached)
-    out = rules.section_blocks(source.read_paragraphs(todo, convert, open_file)).unionByName(rules.page_blocks(source.read_pages(todo, pdf_reader, open_file)))
-    if ocr is not None or opener is not None:
-        out = recognise(written(out, "read"), ocr, opener)
-    else:
-        out = out.withColumn("ocr_conf", F.lit(None).cast("double"))
+    paragraphs = written(source.read_paragraphs(todo, convert, open_file), "paragraphs")
+    pages = written(source.read_pages(todo, pdf_reader, open_file), "pages")
+    out = rules.section_blocks(paragraphs, ROWS).unionByName(rules.page_blocks(pages, ROWS))
+    out = recognise(out, ocr, opener) if ocr is not None or opener is not None else out.withColumn("ocr_conf", F.lit(None).cast("double"))
     none = {"file": rules.base_name(F.col("path")), "chapter": F.lit(NO_CHAPTER), "text": F.lit(""), "scanned": F.lit(False), "block_ord": F.lit(_NO_BLOCK)}
     keys = keys.select("path", "cache_key", F.col("modificationTime").alias("modified"))
     out = keys.join(out, "path", "left").withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})

@@ -165,6 +165,29 @@ def section_fold(spark, sf_dir):
     return B.fold_sections(rows, "doc_id").select("doc_id", F.col("section").cast("long").alias("section"), "chapter", "text")
 
 
+# one file of all lines, in order of doc_id and place, whose runs are shared by tasks
+_LONGEST, _DOCS_A_RUN = 1_000_000, 50
+_SQL_PLACE = f"coalesce(doc_id, -1) * {_LONGEST} + pos"
+
+
+def _one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select(F.lit("all").alias("path"), (F.coalesce("doc_id", F.lit(-1)) * _LONGEST + F.col("pos")).alias("place"), "text", (F.col("pos") % 3 == 1).alias("scanned"))
+
+
+@query(f"""WITH {SQL_LINES}, p AS (SELECT {_SQL_PLACE} AS place, CASE WHEN pos % 3 <> 1 THEN {sql_chapter('text')} END AS own FROM lines)
+SELECT place, coalesce(last_value(own IGNORE NULLS) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING), '{NO_CHAPTER}') AS chapter FROM p""")
+def chapter_carry_runs(spark, sf_dir):
+    return B.carry_chapter(_one_file(spark, sf_dir), "path", "place", rows=_DOCS_A_RUN * _LONGEST).select("place", "chapter")
+
+
+@query(f"""WITH {SQL_LINES}, s AS (SELECT {_SQL_PLACE} AS place, {sql_strip('text')} AS text FROM lines), h AS (SELECT *, {sql_chapter('text')} IS NOT NULL AS head FROM s WHERE text <> ''),
+n AS (SELECT *, sum(CAST(head AS INT)) OVER (ORDER BY place) AS section FROM h)
+SELECT CAST(section AS BIGINT) AS section, coalesce(max(CASE WHEN head THEN substring(text, 1, 60) END), '{NO_CHAPTER}') AS chapter, md5(string_agg(text, chr(10) ORDER BY place)) AS text_md5 FROM n GROUP BY section""")
+def section_fold_runs(spark, sf_dir):
+    rows = _one_file(spark, sf_dir).select("path", F.col("place").alias("para_idx"), "text", F.lit(None).cast("string").alias("style"))
+    return B.fold_sections(rows, "path", rows=_DOCS_A_RUN * _LONGEST).select("section", "chapter", F.md5("text").alias("text_md5"))
+
+
 @query(f"WITH {SQL_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, coalesce({sql_chapter('text')}, 'carried') AS chapter FROM lines")
 def ocr_chapter_override(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "pos", ocr.override_chapter(F.lit("carried"), F.col("text")).alias("chapter"))
