@@ -51,7 +51,7 @@ def store(blocks: DataFrame, path: str) -> None:
     keys.write.parquet(f"{path}/{_KEYS}/stored={stamp}")  # what has no keys yet, after a failure, is not seen
 
 
-_BLOCKS, _KEYS = "blocks", "keys"
+_BLOCKS, _KEYS, _GONE = "blocks", "keys", "gone"
 
 
 def keys(spark: SparkSession, path: str) -> DataFrame:
@@ -80,18 +80,44 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return blocks.drop("stored")
 
 
+def mark_gone(keys_gone: DataFrame, path: str) -> None:
+    """Notes keys whose files have changed or are gone, under the time of this call."""
+    stamp = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    keys_gone.select("cache_key").distinct().write.parquet(f"{path}/{_GONE}/gone={stamp}")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a store without those of keys that were marked as gone after they were stored.
+
+    Only keys are shuffled, as in ``load``.
+    """
+    blocks = load(spark, path)
+    if not _exists(spark, f"{path}/{_GONE}"):
+        return blocks
+    gone = spark.read.schema("cache_key string, gone string").parquet(f"{path}/{_GONE}").groupBy("cache_key").agg(F.max("gone").alias("gone"))
+    dead = gone.join(keys(spark, path), "cache_key").where("gone > stored").select("cache_key")
+    few = dead.limit(MOST_STALE + 1).count() <= MOST_STALE
+    return blocks.join(F.broadcast(dead) if few else dead, "cache_key", "left_anti")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def compact(spark: SparkSession, path: str, live: DataFrame | None = None) -> None:
     """Rewrites a store to the last blocks of each key, and deletes the calls that it replaces.
 
-    With ``live`` (cache_key), keys that are not in it go, such as those of files that are gone.  New blocks are complete before the old ones are deleted, so that a
+    Keys marked as gone go, and with ``live`` (cache_key) all that are not in it.  New blocks are complete before the old ones are deleted, so that a
     failure in between leaves a store that loads the same.
     """
     old = [r.stored for r in keys(spark, path).select("stored").union(spark.read.schema("stored string").parquet(f"{path}/{_KEYS}")).distinct().collect()]
-    blocks = load(spark, path)
+    blocks = current(spark, path)
     store(blocks if live is None else blocks.join(live.select("cache_key").distinct(), "cache_key", "left_semi"), path)
     for stamp in old:
         for part in (_KEYS, _BLOCKS):
             delete(spark, f"{path}/{part}/stored={stamp}")
+    delete(spark, f"{path}/{_GONE}")
 
 
 def entries(cached: DataFrame) -> DataFrame:
@@ -100,5 +126,5 @@ def entries(cached: DataFrame) -> DataFrame:
 
 def clear(spark: SparkSession, path: str) -> None:
     """Removes what ``store`` wrote, and nothing else that lies in the folder."""
-    for part in (_KEYS, _BLOCKS):
+    for part in (_KEYS, _BLOCKS, _GONE):
         delete(spark, f"{path}/{part}")

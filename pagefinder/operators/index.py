@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..schema import NO_CHAPTER
@@ -10,6 +10,7 @@ from ..sources import files as source
 from ..sources.shared import FileOpener, open_file, tidy, written
 from . import blocks as rules
 from .cache import cache_key, hits, misses
+from .cache import _exists as stored_before
 from .cache import keys as cache_keys
 from .cache import load as cache_load
 from .cache import store as cache_store
@@ -44,7 +45,7 @@ def update(files: DataFrame, store: str, pdf_reader: source.PdfReader | None = N
     ``cache.compact``.  ``seen`` counts what was opened.  A first run is the case of an empty store.
     """
     spark = files.sparkSession
-    stored = cache_keys(spark, store) if _exists(spark, store) else None
+    stored = cache_keys(spark, store) if stored_before(spark, f"{store}/keys") else None
     with tidy(spark):
         cache_store(build(files, pdf_reader, convert, ocr, stored, opener, seen, open_file).drop("file_ord"), store)
     now = cache_load(spark, store)
@@ -52,11 +53,6 @@ def update(files: DataFrame, store: str, pdf_reader: source.PdfReader | None = N
     return now.join(mine, "cache_key")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def _keyed(files: DataFrame) -> DataFrame:
     """The listing, without content, under cache keys."""
     return source.listed(files).withColumn("cache_key", cache_key(F.col("path"), F.col("modificationTime")))
