@@ -41,6 +41,8 @@ ORDER = 3
 PRIOR = 32.0
 #: Tokens after which a chunk is closed; a longer text has a chunk of its own.
 CHUNK_TOKENS = 1_500_000
+#: Tokens of a walk.
+WALK = 256
 #: Bits of its hash that an n-gram of several words is told by: 56, as requests are mostly these; words have all 64.
 KEPT = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Lower-cases A-Z only.
@@ -141,40 +143,90 @@ class Chunk:
 
     def automaton(self, answers: dict[int, bytes], tokens: int, kinds: int, prior: float) -> Automaton:
         count = np.concatenate([np.zeros(0, np.int64), *(_unzip(answers[q], "<i8")[0] for q in sorted(answers))])
-        return Automaton(count, tokens, kinds, prior)
+        return Automaton.build(self, count, tokens, kinds, prior)
 
 
 @dataclass
 class Automaton:
-    """The states and arcs that a chunk's texts can take, by their counts."""
+    """States and arcs that a chunk's texts can take.
 
-    count: np.ndarray  # of each n-gram: as an arc, and as the state after it
-    tokens: int
-    kinds: int
-    prior: float
+    A state is a context, named by its n-gram (an index into the chunk's keys), or the root; it exists if the context was seen.  An arc is named by the n-gram
+    that it completes, and exists if that was seen; arcs of the root exist for every word.
+    """
 
-    def traverse(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
-        """By text: tokens, known tokens, summed root weights, summed weights of the arcs taken.
+    count: np.ndarray  # of each n-gram
+    fail: np.ndarray  # of each state: the state without its first word, -1 for the root
+    fail_weight: np.ndarray  # of each state: what its failure arc weighs
+    arc_weight: np.ndarray  # of each arc: the logarithm of the word's probability in its state
 
-        The walks of all texts are made side by side.  ``weight`` is what a token costs from the state that
-        ``k`` words before it lead to: its arc there, or the failure arc and what it costs from the shorter state.
+    @classmethod
+    def build(cls, chunk: Chunk, count: np.ndarray, tokens: int, kinds: int, prior: float) -> Automaton:
+        """Weights of arcs from the root up: a longer context's probability leans on that of the shorter one."""
+        fail = np.full(len(count), -1, np.int64)
+        p = (count + 0.5) / (tokens + 0.5 * (kinds + 1))
+        for k in range(1, len(chunk.grams)):
+            at = np.flatnonzero(chunk.grams[k] >= 0)
+            gram = chunk.grams[k][at]
+            gram, first = np.unique(gram, return_index=True)
+            at = at[first]
+            fail[gram] = chunk.grams[k - 1][at]
+            state = chunk.grams[k - 1][at - 1]
+            p[gram] = (count[gram] + prior * p[fail[gram]]) / (count[state] + prior)
+        return cls(count, fail, np.log10(prior / (count + prior)), np.log10(p))
+
+    def start(self, chunk: Chunk, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states (and their lengths) after the words up to some places: the longest contexts that exist."""
+        state, size = np.full(len(place), -1, np.int64), np.zeros(len(place), np.int64)
+        for k in range(len(chunk.grams) - 1):
+            gram = chunk.grams[k][place]
+            seen = (gram >= 0) & (self.count[gram] > 0) & (size == k)
+            state[seen], size[seen] = gram[seen], k + 1
+        return state, size
+
+    def walk(self, chunk: Chunk) -> np.ndarray:
+        """Of each token: the summed weights of the arcs taken at it.
+
+        Every walk carries a state from token to token.  Walks go side by side, a token of each at a time; a long text is several walks of ``WALK`` tokens, each of which
+        begins in the state that the one before ends in.
         """
+        here, grams, order = chunk.token, np.stack(chunk.grams), len(chunk.grams)
+        text = np.searchsorted(chunk.begins, here, "right") - 1
+        nth = here - chunk.begins[text] - 1
+        lead = np.flatnonzero(nth % WALK == 0)  # the first token of each walk
+        left = np.diff(np.append(lead, len(here)))
+        longest_first = np.argsort(-left, kind="stable")
+        lead, left = lead[longest_first], left[longest_first]
+        state, size = self.start(chunk, here[lead] - 1) if len(lead) else (lead, lead)
+        weight = np.zeros(len(here))
+        for step in range(int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(-left, -step, "left"))  # walks that have a token left
+            token = lead[:n] + step
+            state, size = state[:n], size[:n]
+            place = here[token]
+            for _ in range(order - 1):  # along failure arcs until there is an arc for the word
+                arc = grams[size, place]
+                stuck = np.flatnonzero((size > 0) & (self.count[arc] == 0))
+                if not len(stuck):
+                    break
+                weight[token[stuck]] += self.fail_weight[state[stuck]]
+                state[stuck] = self.fail[state[stuck]]
+                size[stuck] -= 1
+            arc = grams[size, place].astype(np.int64)
+            weight[token] += self.arc_weight[arc]
+            # on to the context that the arc completes, or what exists of it
+            full = size == order - 1
+            state, size = np.where(full, self.fail[arc] if order > 1 else -1, arc), np.where(full, size, size + 1)
+            gone = (size > 0) & (self.count[state] == 0)  # a word that was never seen
+            state, size = np.where(gone, -1, state), np.where(gone, 0, size)
+        return weight
+
+    def traverse(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
+        """By text: tokens, known tokens, summed root weights, summed weights of the arcs taken."""
         here = chunk.token
-        before = here - 1
-        n = self.count[chunk.grams[0][here]]
-        root = np.log10((n + 0.5) / (self.tokens + 0.5 * (self.kinds + 1)))
-        weight = root
-        for k in range(1, len(chunk.grams)):
-            gram, context = chunk.grams[k][here], chunk.grams[k - 1][before]
-            inside = (gram >= 0) & (context >= 0)
-            arc = np.where(inside, self.count[gram], 0)
-            state = np.where(inside, self.count[context], 0)
-            failure = np.log10(self.prior / (state + self.prior))
-            taken = np.log10((arc + self.prior * 10**weight) / (state + self.prior))
-            weight = np.where(arc > 0, taken, failure + weight)
+        word = chunk.grams[0][here]
         first = np.searchsorted(here, chunk.begins)
         add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
-        return add(np.ones(len(here), np.int64)), add((n > 0).astype(np.int64)), add(root), add(weight)
+        return add(np.ones(len(here), np.int64)), add((self.count[word] > 0).astype(np.int64)), add(self.arc_weight[word]), add(self.walk(chunk))
 
 
 def _answer(table: pa.Table) -> pa.Table:
