@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import delete
+from ..sources.shared import delete, exists
 
 VERSION = "v10"
 
@@ -46,18 +46,36 @@ def store(blocks: DataFrame, path: str) -> None:
     stamp = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     blocks.write.parquet(f"{path}/{_BLOCKS}/stored={stamp}")
     spark = blocks.sparkSession
-    error = F.count("ocr_error") if "ocr_error" in blocks.columns else F.lit(0).cast("long")
-    keys = spark.read.schema(blocks.schema).parquet(f"{path}/{_BLOCKS}/stored={stamp}").groupBy("cache_key").agg(error.alias("n_errors"))
-    keys.write.parquet(f"{path}/{_KEYS}/stored={stamp}")  # what has no keys yet, after a failure, is not seen
+    rows = spark.read.schema(blocks.schema).parquet(f"{path}/{_BLOCKS}/stored={stamp}")
+    rows.groupBy("cache_key").agg(*(c.alias(k) for k, c in _partial_sums(rows.columns).items())).write.parquet(f"{path}/{_KEYS}/stored={stamp}")  # what has no keys yet, after a failure, is not seen
 
 
 _BLOCKS, _KEYS, _GONE = "blocks", "keys", "gone"
+_KEY_COLUMNS = "cache_key string, n_errors long, file string, n_blocks long, n_text_blocks long, n_scanned_blocks long, n_ocr_done long, stored string"
+
+
+def _partial_sums(columns: list[str]) -> dict[str, Column]:
+    """What reports need to know of a file, so that they need not read its blocks again."""
+    out = {"n_errors": F.count("ocr_error") if "ocr_error" in columns else F.lit(0).cast("long")}
+    if {"file", "text", "scanned", "block_ord"} <= set(columns):
+        real, scan, text = F.col("block_ord") >= 0, F.col("scanned"), F.col("text") != ""
+        out |= {"file": F.max("file"), "n_blocks": F.count_if(real), "n_text_blocks": F.count_if(real & ~scan & text), "n_scanned_blocks": F.count_if(real & scan), "n_ocr_done": F.count_if(real & scan & text)}
+    return out
 
 
 def keys(spark: SparkSession, path: str) -> DataFrame:
-    """(cache_key, stored, n_errors): the last stamp of each key of a store."""
-    every = spark.read.schema("cache_key string, n_errors long, stored string").parquet(f"{path}/{_KEYS}")
-    return every.groupBy("cache_key").agg(F.max_by(F.struct("stored", "n_errors"), "stored").alias("k")).select("cache_key", "k.stored", "k.n_errors")
+    """(cache_key, stored, n_errors, and sums of the file's blocks): the last writing of each key of a store."""
+    every = spark.read.schema(_KEY_COLUMNS).parquet(f"{path}/{_KEYS}")
+    return every.groupBy("cache_key").agg(F.max_by(F.struct(*(c for c in every.columns if c != "cache_key")), "stored").alias("k")).select("cache_key", "k.*")
+
+
+def current_keys(spark: SparkSession, path: str) -> DataFrame:
+    """``keys`` without those that were marked as gone after they were stored."""
+    known = keys(spark, path)
+    if not exists(spark, f"{path}/{_GONE}"):
+        return known
+    gone = spark.read.schema("cache_key string, gone string").parquet(f"{path}/{_GONE}").groupBy("cache_key").agg(F.max("gone").alias("gone"))
+    return known.join(gone, "cache_key", "left").where("gone is null or gone < stored").drop("gone")
 
 
 #: Keys of replaced blocks that are sent to all tasks; more are joined by a shuffle.
@@ -69,7 +87,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
     Only keys are shuffled: blocks stay where they are, but for those whose key was written again later.  These are counted, and sent to all tasks if they are few.
     """
-    every = spark.read.schema("cache_key string, n_errors long, stored string").parquet(f"{path}/{_KEYS}")
+    every = spark.read.schema(_KEY_COLUMNS).parquet(f"{path}/{_KEYS}").select("cache_key", "stored")
     last = keys(spark, path).select("cache_key", F.col("stored").alias("last"))
     stale = every.join(last, "cache_key").where("stored < last").select("cache_key", "stored")
     stamps = [r.stored for r in every.select("stored").distinct().collect()]  # one a call of ``store``
@@ -92,17 +110,9 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     Only keys are shuffled, as in ``load``.
     """
     blocks = load(spark, path)
-    if not _exists(spark, f"{path}/{_GONE}"):
-        return blocks
-    gone = spark.read.schema("cache_key string, gone string").parquet(f"{path}/{_GONE}").groupBy("cache_key").agg(F.max("gone").alias("gone"))
-    dead = gone.join(keys(spark, path), "cache_key").where("gone > stored").select("cache_key")
-    few = dead.limit(MOST_STALE + 1).count() <= MOST_STALE
-    return blocks.join(F.broadcast(dead) if few else dead, "cache_key", "left_anti")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    dead = keys(spark, path).join(current_keys(spark, path), "cache_key", "left_anti").select("cache_key")
+    n = dead.limit(MOST_STALE + 1).count()
+    return blocks if not n else blocks.join(F.broadcast(dead) if n <= MOST_STALE else dead, "cache_key", "left_anti")
 
 
 def compact(spark: SparkSession, path: str, live: DataFrame | None = None) -> None:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schema import NO_CHAPTER
 from ..sources import files as source
-from ..sources.shared import FileOpener, open_file, tidy, written
+from ..sources.shared import FileOpener, exists, open_file, tidy, written
 from . import blocks as rules
 from .cache import cache_key, hits, misses
-from .cache import _exists as stored_before
 from .cache import keys as cache_keys
 from .cache import load as cache_load
 from .cache import store as cache_store
@@ -45,7 +44,7 @@ def update(files: DataFrame, store: str, pdf_reader: source.PdfReader | None = N
     ``cache.compact``.  ``seen`` counts what was opened.  A first run is the case of an empty store.
     """
     spark = files.sparkSession
-    stored = cache_keys(spark, store) if stored_before(spark, f"{store}/keys") else None
+    stored = cache_keys(spark, store) if exists(spark, f"{store}/keys") else None
     with tidy(spark):
         cache_store(build(files, pdf_reader, convert, ocr, stored, opener, seen, open_file).drop("file_ord"), store)
     now = cache_load(spark, store)

@@ -57,3 +57,26 @@ def ranked(results: DataFrame) -> DataFrame:
     """Adds result_rank to what ``locate`` found, whose rows are limited."""
     place = [F.col(c) for c in ("file_ord", "block_ord") if c in results.columns]
     return with_rank(results, [F.col("rank_in_file") > 1, F.desc("score"), *place])
+
+
+def kept_status(keys: DataFrame) -> DataFrame:
+    """``index_status`` of a store, from the sums that ``cache.store`` made of each file's blocks.
+
+    ``keys``: ``cache.current_keys``, or those of a listing.  A file that was added, changed or deleted is a key more or less; blocks
+    of files that have not changed are not read, and a name that several files have counts once, as long as one of them has such blocks.
+    """
+    some = lambda n: F.count_distinct(F.when(F.col(n) > 0, F.col("file")))
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    return keys.agg(
+        total("n_blocks").alias("n_blocks"),
+        total("n_text_blocks").alias("n_text_blocks"),
+        some("n_text_blocks").alias("n_text_files"),
+        total("n_scanned_blocks").alias("n_scanned_blocks"),
+        some("n_scanned_blocks").alias("n_scanned_files"),
+        total("n_ocr_done").alias("n_ocr_done"),
+    )
+
+
+def kept_scanned_files(keys: DataFrame) -> DataFrame:
+    """``scanned_files`` of a store, from the same sums."""
+    return keys.where("n_scanned_blocks > 0").groupBy("file").agg(F.sum("n_scanned_blocks").alias("n_pages"), F.sum("n_ocr_done").alias("n_ocr_done")).orderBy("file")

@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as api
 
 from .files import SUPPORTED, DocConverter, PdfReader, docx_paragraphs
-from .shared import FileOpener, open_file
+from .shared import FileOpener, open_file, opened_folder
 
 #: Bytes of files that a partition has at least, unless it is the last one.
 PARTITION_BYTES = 64 << 20
@@ -51,7 +51,7 @@ def list_files(folder: str) -> list[Found]:
     from pyarrow import fs
 
     local = folder.startswith("file:") or "://" not in folder
-    store, base = (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(folder)
+    store, base = opened_folder(folder)
     head = "file:" if local else folder.split("://", 1)[0] + "://"
     if store.get_file_info(base).type != fs.FileType.Directory:
         raise NotADirectoryError(folder)
@@ -228,10 +228,7 @@ class ChangeReader(api.DataSourceStreamReader):
         self.folder, self.snapshots = folder, snapshots
 
     def _store(self):
-        from pyarrow import fs
-
-        local = self.snapshots.startswith("file:") or "://" not in self.snapshots
-        return (fs.LocalFileSystem(), "/" + self.snapshots.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(self.snapshots)
+        return opened_folder(self.snapshots)
 
     def _load(self, name: str) -> list[Found]:
         if not name:

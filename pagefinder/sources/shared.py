@@ -31,6 +31,20 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def opened_folder(folder: str):
+    """A store that pyarrow knows, and the folder's path there, for tasks."""
+    from pyarrow import fs
+
+    if folder.startswith("file:") or "://" not in folder:
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: what made it runs once, and an executor lost later costs nothing of it."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from pagefinder.operators import cache
+from pagefinder.operators import cache, index, report
 from pagefinder.sources import documents
 from pagefinder.sources import files as source
 from pagefinder.streaming.watch import follow
@@ -92,6 +92,9 @@ def test_versions_of_a_folder(spark, folder):
     docx(folder / "in/sub/d1.docx", "back")
     got = now()
     assert ("d1.docx", "back") in got
+    keys, blocks = cache.current_keys(spark, where["store"]), index.blocks_of(cache.current(spark, where["store"]))
+    assert report.kept_status(keys).collect() == report.index_status(blocks).collect() and report.kept_status(keys).first().n_text_files == 7
+    assert not any("/blocks/" in f for f in report.kept_status(keys).inputFiles())
     cache.compact(spark, where["store"])
     assert sorted((r.file, r.text) for r in cache.load(spark, where["store"]).where("ocr_error is null").collect()) == got
 
