@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, ExitStack
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_chapter
+from ..sources.shared import written
 
 #: (pdf path, page index, dpi) -> [(text, confidence)] a line.
 OcrEngine = Callable[[str, int, int], list[tuple[str, float]]]
 #: pdf path -> an open file, (page index, dpi) -> [(text, confidence)] a line.
 PdfOpener = Callable[[str], AbstractContextManager[Callable[[int, int], list[tuple[str, float]]]]]
-#: Pages of a PDF that one opening serves; a longer file is shared by several tasks.
-PAGES_AN_OPENING = 64
+#: What a task has to read, in pages of usual cost; a longer file is shared by several tasks.
+PAGES_A_TASK = 64
 LINES = "array<struct<text:string,conf:double>>"
 
 
@@ -56,13 +58,33 @@ def _by_file(opener: PdfOpener, files: ExitStack) -> OcrEngine:
     return read
 
 
-def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpener | None = None) -> DataFrame:
+def in_shares(pages: DataFrame, order: list[str], cost: Column, share: float = PAGES_A_TASK) -> DataFrame:
+    """Rows in partitions of about ``share`` cost each, every one a run of the order.
+
+    Rows are ranged and written, which fixes their places; costs are summed by range and within each range, so a row's place in the whole sum is known without a
+    task that sees all; and that says which partition it belongs to.  A partition is over its share by one row's cost at most.
+    """
+    ranged = pages.withColumn("_cost", cost.cast("double")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumn("_i", F.monotonically_increasing_id()), "pages-in-order").withColumn("_p", F.shiftright("_i", 33))
+    sums = ranged.groupBy("_p").agg(F.sum("_cost").alias("_sum"))
+    total = sums.agg(F.sum("_sum")).first()[0] or 0.0
+    before = sums.select("_p", F.coalesce(F.sum("_sum").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    within = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.col("_before") + F.coalesce(F.sum("_cost").over(within), F.lit(0.0))
+    tasks = max(1, math.ceil(total / share))
+    task = F.least(F.floor(done * tasks / (total or 1.0)), F.lit(tasks - 1)).cast("int")
+    dealt = ranged.join(F.broadcast(before), "_p").withColumn("_task", task)  # a row a range
+    return dealt.repartitionById(tasks, "_task").sortWithinPartitions(*order).select(*pages.columns)
+
+
+def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpener | None = None, cost: Column | None = None) -> DataFrame:
     """Fills text, chapter, ocr_conf and ocr_error of scanned blocks without text; ``scanned`` stays.
 
     Only these blocks go through Python, one page at a time, so an image is all that a task holds; an engine's error is
     that page's.  Other blocks keep all their columns, ocr_conf included, and no text of theirs leaves Spark.  ``blocks`` is read for either kind, so what is dear to
-    make should be written first (``index.build`` does).  With an ``opener``, pages are brought together by file, in
-    runs of ``PAGES_AN_OPENING``, and a file is opened once a run; a file that won't open is the error of its pages.
+    make should be written first (``index.build`` does).  With an ``opener``, pages are put in order of
+    file and page and cut into runs of about equal ``cost`` (of a block; default 1), ``PAGES_A_TASK`` each, so that neither a large file nor a dear one is one task's; a
+    file is opened once a run, and one that won't open is the error of its pages.
     """
     if (engine is None) == (opener is None):
         raise ValueError("give an engine or an opener")
@@ -90,8 +112,8 @@ def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpe
         blocks = blocks.withColumn("ocr_conf", F.lit(None).cast("double"))
     todo = blocks.where(need)
     if opener is not None:
-        page = F.col("render_info.page_idx")
-        todo = todo.repartition("render_info.pdf_path", F.floor(page / PAGES_AN_OPENING)).sortWithinPartitions("render_info.pdf_path", page)
+        keyed = todo.withColumns({"_path": F.col("render_info.pdf_path"), "_page": F.col("render_info.page_idx")})
+        todo = in_shares(keyed, ["_path", "_page"], F.lit(1) if cost is None else cost).drop("_path", "_page")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
     done = todo.mapInPandas(run, f"{schema}, _lines {LINES}")
     done = done.withColumn("text", lines_text(F.col("_lines"))).withColumn("chapter", override_chapter(F.col("chapter"), F.col("text")))

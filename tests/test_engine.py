@@ -267,6 +267,33 @@ def test_opener(spark, tmp_path):
         ocr.recognise(b)
 
 
+def test_ocr_shares_by_cost(spark, tmp_path):
+    """A file of 3000 pages beside 600 small ones, some pages dear: no task has much more than the mean, and files are opened once a run."""
+    rows = [("big", True, "", ("big", k, 300), "c", None, 1.0) for k in range(3000)] + [(f"s{f}", True, "", (f"s{f}", k, 300), "c", None, 5.0 if f % 9 == 0 else 1.0) for f in range(600) for k in range(2)]
+    b = spark.createDataFrame(rows, "file string, scanned boolean, text string, render_info struct<pdf_path:string,page_idx:int,dpi:int>, chapter string, ocr_error string, dear double").repartition(6)
+    log = str(tmp_path / "opened")
+
+    def opener(path):
+        from contextlib import contextmanager
+
+        @contextmanager
+        def opened():
+            with open(log, "a") as f:
+                f.write(path + "\n")
+            yield lambda page_idx, dpi: [(f"{path} {page_idx}", 1.0)]
+
+        return opened()
+
+    got = ocr.recognise(b, opener=opener, cost=F.col("dear")).withColumn("p", F.spark_partition_id()).collect()
+    assert len({r.text for r in got}) == len(rows) == 4200
+    sums = {}
+    for r in got:
+        sums[r.p] = sums.get(r.p, 0) + r.dear
+    mean = sum(sums.values()) / len(sums)
+    assert len(sums) == -(-sum(r[6] for r in rows) // ocr.PAGES_A_TASK) and max(sums.values()) <= mean + 5
+    assert len(open(log).read().split()) <= 601 + len(sums)
+
+
 def page_image(angle):
     """Dark bars on a light page, turned by an angle."""
     y, x = np.mgrid[0:400, 0:400] - 200.0
