@@ -9,6 +9,7 @@ from ..schema import NO_CHAPTER
 from ..sources import files as source
 from ..sources.shared import FileOpener, exists, open_file, tidy, written
 from . import blocks as rules
+from . import content
 from .cache import cache_key, hits, misses
 from .cache import keys as cache_keys
 from .cache import load as cache_load
@@ -37,16 +38,31 @@ def refresh(files: DataFrame, cached: DataFrame, pdf_reader: source.PdfReader |
     return kept.unionByName(fresh, allowMissingColumns=True).join(file_order(files), "path")
 
 
-def update(files: DataFrame, store: str, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, opener: PdfOpener | None = None, seen: Observation | None = None, open_file: FileOpener = open_file) -> DataFrame:
+def update(files: DataFrame, store: str, pdf_reader: source.PdfReader | None = None, convert: source.DocConverter | None = None, ocr: OcrEngine | None = None, opener: PdfOpener | None = None, seen: Observation | None = None, open_file: FileOpener = open_file, by_content: bool = False) -> DataFrame:
     """Brings the store up to ``files`` and gives their index, with file_ord.
 
     Reads keys of the store, opens what is missing there, and appends just that; files that are gone drop out of the index, and out of the store with
-    ``cache.compact``.  ``seen`` counts what was opened.  A first run is the case of an empty store.
+    ``cache.compact``.  ``seen`` counts what was opened.  A first run is the case of an empty store.  ``by_content``: files that were moved or sent again are known by
+    their digests, and take over stored blocks instead of being read (``content``).
     """
     spark = files.sparkSession
     stored = cache_keys(spark, store) if exists(spark, f"{store}/keys") else None
     with tidy(spark):
-        cache_store(build(files, pdf_reader, convert, ocr, stored, opener, seen, open_file).drop("file_ord"), store)
+        if not by_content:
+            cache_store(build(files, pdf_reader, convert, ocr, stored, opener, seen, open_file).drop("file_ord"), store)
+        else:
+            todo = written(_keyed(files) if stored is None else misses(_keyed(files), stored), "todo")
+            digests, same = content.known(spark, store), None
+            if digests is not None:
+                whole = digests.join(stored.where("n_errors = 0").select("cache_key"), "cache_key", "left_semi")
+                same = written(content.same_as_stored(todo, whole, open_file), "same")
+                todo = todo.join(same.select("cache_key"), "cache_key", "left_anti")
+            fresh = build(todo.select(*source.LISTING), pdf_reader, convert, ocr, None, opener, seen, open_file).drop("file_ord")
+            if same is not None:
+                fresh = fresh.unionByName(content.copies(cache_load(spark, store), same), allowMissingColumns=True)
+                content.remember(same, store, open_file)
+            cache_store(fresh, store)
+            content.remember(todo, store, open_file)
     now = cache_load(spark, store)
     mine = _keyed(files).select("cache_key", "path").join(file_order(files), "path").drop("path")
     return now.join(mine, "cache_key")

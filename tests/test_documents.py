@@ -105,3 +105,34 @@ def test_differences():
     assert [(c, f.path, p) for c, f, p in documents.differences(old, new)] == [("changed", "b", 1), ("new", "d", None), ("deleted", "c", 1)]
     parts = documents.by_bytes([documents.Found(str(k), 0, 10) for k in range(7)] + [documents.Found("big", 0, 500)], 30)
     assert [len(p.files) for p in parts] == [1, 3, 3, 1]
+
+
+def test_moved_files_are_not_read_again(spark, folder):
+    """Copies take over stored blocks: no parse, and only files of a known length are opened at all."""
+    log = folder / "parsed"
+
+    def reader(path, content):
+        with open(log, "a") as f:
+            f.write(path.rsplit("/", 1)[1] + "\n")
+        return "w", [(t, 0, True) for t in content.decode().split("|")]
+
+    def update():
+        log.write_text("")
+        got = index.update(source.scan_folder(spark, str(folder / "in")), str(folder / "store"), reader, open_file=counting(str(folder / "opened")), by_content=True)
+        return sorted((r.file, r.page, r.text) for r in got.where("ocr_error is null").collect()), log.read_text().split()
+
+    (folder / "opened").write_text("")
+    (folder / "in/Q.pdf").write_bytes(b"first page|second pagf")  # as long as the other one
+    first, parsed = update()
+    assert sorted(parsed) == ["P.PDF", "Q.pdf"]
+    (folder / "in/P.PDF").rename(folder / "in/sub/moved.pdf")
+    (folder / "in/sub/again.pdf").write_bytes(b"first page|second page")
+    (folder / "in/R.pdf").write_bytes(b"first page|second pagg")
+    (folder / "opened").write_text("")
+    later, parsed = update()
+    assert parsed == ["R.pdf"]
+    rename = {"P.PDF": "moved.pdf"}
+    want = [(rename.get(f, f), p, t) for f, p, t in first] + [("again.pdf", k + 1, t) for k, t in enumerate(["first page", "second page"])] + [("R.pdf", k + 1, t) for k, t in enumerate(["first page", "second pagg"])]
+    assert sorted(later, key=str) == sorted(want, key=str)
+    assert {"Q.pdf", "d1.docx"}.isdisjoint((folder / "opened").read_text().split())
+    assert update()[1] == []
