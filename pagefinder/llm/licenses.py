@@ -127,7 +127,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     The digest of a whole text's canonical form is joined with ``known`` (digest, license_id); if a
     digest is listed twice the first id in order counts.  Texts without words, null or empty ones
-    included, are no licence.  Texts of any length are digested whole; copies give equal rows.
+    included, are no licence.  Texts of any length are digested whole; copies give equal rows,
+    repeated and null ids rows of their own; other columns are not read.
     """
     spark = docs.sparkSession
     known = known_digests(spark) if known is None else known

@@ -118,7 +118,8 @@ def write(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, segme
     The table of segments (schema ``SEGMENTS``) is written by Spark's committed writer into the
     shared folder, so lost executors and retried tasks leave no half-written file.  Documents are
     range-partitioned by doc_id and streamed in order; a segment is all that a task holds.
-    A null doc_id comes first; rows of equal doc_id stand next to each other, however many.  Null text: empty.
+    A null doc_id comes first; rows of equal doc_id stand next to each other, however many.  Null text: empty; a very
+    long text is encoded whole and has a segment of its own.  Rows of equal id are in order of their text's hash; other columns are not read; an empty table has no segments.
     Payloads are stored as they are, uncompressed, so that ``token`` reads a segment without decoding a block.
     """
     spark = docs.sparkSession
