@@ -41,8 +41,8 @@ ORDER = 3
 PRIOR = 32.0
 #: Tokens after which a chunk is closed; a longer text has a chunk of its own.
 CHUNK_TOKENS = 1_500_000
-#: Tokens of a walk.
-WALK = 256
+#: Tokens of a walk, and walks that are made side by side.
+WALK, WALKS = 256, 1024
 #: Bits of its hash that an n-gram of several words is told by: 56, as requests are mostly these; words have all 64.
 KEPT = np.uint64(0xFFFFFFFFFFFFFF00)
 #: Lower-cases A-Z only.
@@ -162,17 +162,17 @@ class Automaton:
     @classmethod
     def build(cls, chunk: Chunk, count: np.ndarray, tokens: int, kinds: int, prior: float) -> Automaton:
         """Weights of arcs from the root up: a longer context's probability leans on that of the shorter one."""
-        fail = np.full(len(count), -1, np.int64)
+        fail, state = np.full(len(count), -1, np.int32), np.zeros(len(count), np.int32)
         p = (count + 0.5) / (tokens + 0.5 * (kinds + 1))
         for k in range(1, len(chunk.grams)):
             at = np.flatnonzero(chunk.grams[k] >= 0)
             gram = chunk.grams[k][at]
-            gram, first = np.unique(gram, return_index=True)
-            at = at[first]
-            fail[gram] = chunk.grams[k - 1][at]
-            state = chunk.grams[k - 1][at - 1]
-            p[gram] = (count[gram] + prior * p[fail[gram]]) / (count[state] + prior)
-        return cls(count, fail, np.log10(prior / (count + prior)), np.log10(p))
+            fail[gram], state[gram] = chunk.grams[k - 1][at], chunk.grams[k - 1][at - 1]
+            mine = np.zeros(len(count), bool)
+            mine[gram] = True
+            gram = np.flatnonzero(mine)
+            p[gram] = (count[gram] + prior * p[fail[gram]]) / (count[state[gram]] + prior)
+        return cls(count, fail, np.log10(prior / (count + prior)), np.log10(p, out=p))
 
     def start(self, chunk: Chunk, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states (and their lengths) after the words up to some places: the longest contexts that exist."""
@@ -189,36 +189,47 @@ class Automaton:
         Every walk carries a state from token to token.  Walks go side by side, a token of each at a time; a long text is several walks of ``WALK`` tokens, each of which
         begins in the state that the one before ends in.
         """
-        here, grams, order = chunk.token, np.stack(chunk.grams), len(chunk.grams)
+        here = chunk.token
         text = np.searchsorted(chunk.begins, here, "right") - 1
         nth = here - chunk.begins[text] - 1
         lead = np.flatnonzero(nth % WALK == 0)  # the first token of each walk
-        left = np.diff(np.append(lead, len(here)))
-        longest_first = np.argsort(-left, kind="stable")
-        lead, left = lead[longest_first], left[longest_first]
-        state, size = self.start(chunk, here[lead] - 1) if len(lead) else (lead, lead)
+        ends = np.append(lead, len(here))
         weight = np.zeros(len(here))
-        for step in range(int(left[0]) if len(left) else 0):
+        for i in range(0, len(lead), WALKS):  # so many walks side by side
+            self._side_by_side(chunk, lead[i : i + WALKS], np.diff(ends[i : i + WALKS + 1]), weight)
+        return weight
+
+    def _side_by_side(self, chunk: Chunk, lead: np.ndarray, left: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the weights of some walks, given by their first tokens and lengths.
+
+        A state is the n-gram of ``size`` words that ends before the token; its arc is the n-gram one word longer that ends at it, and its failure arc leads to the state
+        one word shorter.  What these weigh is looked up for all places of the walks at once.
+        """
+        here, order = chunk.token, len(chunk.grams)
+        base = here[lead[0]] - 1
+        places = slice(base, here[lead[-1] + left[-1] - 1] + 1)
+        grams = [g[places] for g in chunk.grams]
+        seen = np.stack([(g >= 0) & (self.count[g] > 0) for g in grams])
+        arc = np.stack([self.arc_weight[g] for g in grams])
+        failing = np.stack([self.fail_weight[g] for g in grams])
+        size = self.start(chunk, here[lead] - 1)[1]
+        longest_first = np.argsort(-left, kind="stable")
+        lead, left, size = lead[longest_first], left[longest_first], size[longest_first]
+        for step in range(int(left[0])):
             n = int(np.searchsorted(-left, -step, "left"))  # walks that have a token left
-            token = lead[:n] + step
-            state, size = state[:n], size[:n]
-            place = here[token]
+            token, size = lead[:n] + step, size[:n]
+            place = here[token] - base
+            spent = np.zeros(n)
             for _ in range(order - 1):  # along failure arcs until there is an arc for the word
-                arc = grams[size, place]
-                stuck = np.flatnonzero((size > 0) & (self.count[arc] == 0))
+                stuck = np.flatnonzero((size > 0) & ~seen[size, place])
                 if not len(stuck):
                     break
-                weight[token[stuck]] += self.fail_weight[state[stuck]]
-                state[stuck] = self.fail[state[stuck]]
+                spent[stuck] += failing[size[stuck] - 1, place[stuck] - 1]
                 size[stuck] -= 1
-            arc = grams[size, place].astype(np.int64)
-            weight[token] += self.arc_weight[arc]
-            # on to the context that the arc completes, or what exists of it
-            full = size == order - 1
-            state, size = np.where(full, self.fail[arc] if order > 1 else -1, arc), np.where(full, size, size + 1)
-            gone = (size > 0) & (self.count[state] == 0)  # a word that was never seen
-            state, size = np.where(gone, -1, state), np.where(gone, 0, size)
-        return weight
+            weight[token] = spent + arc[size, place]
+            # on to the context that the arc completes; a word that was never seen leads to the root
+            size = np.minimum(size + 1, order - 1)
+            size = np.where((size > 0) & seen[size - 1, place], size, 0)
 
     def traverse(self, chunk: Chunk) -> tuple[np.ndarray, ...]:
         """By text: tokens, known tokens, summed root weights, summed weights of the arcs taken."""
