@@ -391,6 +391,25 @@ def test_large_bands(spark, monkeypatch):
     assert in_tiles == by_pairs >= want and len(by_pairs) <= len(want) + 3  # a pair just at the threshold may share no band
 
 
+def test_outlines_lose_no_pair(spark):
+    """Pairs of torn bands are told apart by bitmaps: unlike ones go before texts are compared, none above the threshold does."""
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcdefghij ", k=300))
+    texts = []
+    for k in range(40):
+        t = list(base)
+        for at in rng.sample(range(300), 3 * (k // 2)):
+            t[at] = "z"
+        texts.append((k, "".join(t)))
+    edge = "\n" * (line_dedup.SHINGLE - 1)
+    sets = {k: {(edge + t + edge)[i : i + line_dedup.SHINGLE] for i in range(len(t) + len(edge))} for k, t in texts}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    pairs = spark.createDataFrame(list(like), "a long, b long")
+    outlines = line_dedup._outlines(spark.createDataFrame(texts, "cid long, line string"))
+    left = {(r.a, r.b) for r in line_dedup._perhaps(pairs, outlines, 0.8).collect()}
+    assert {p for p, j in like.items() if j >= 0.8} <= left and not {p for p, j in like.items() if j < 0.5} & left
+
+
 def test_extreme_vectors(spark):
     rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e300, 1e300]), (4, [1e308, 1e308]), (5, [-0.0, 1.0]), (6, [0.0, 1.0]), (6, [0.0, 1.0]), (None, [0.0, -1.0])]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
