@@ -25,6 +25,8 @@ from .shared import FileOpener, open_file
 SUPPORTED = (".pdf", ".docx", ".doc")
 #: Files above this are not loaded into a row but opened by path.
 MOST_BYTES = 512 * 1024 * 1024
+#: Paragraphs of small files go to Spark together, as soon as there are so many rows or characters.
+FRAME_ROWS, FRAME_CHARS = 4096, 4_000_000
 LISTING = ["path", "modificationTime", "length", "suffix"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -116,6 +118,23 @@ def docx_paragraphs(content: bytes | BinaryIO) -> list[tuple[str, str]]:
     return out
 
 
+def _in_frames(files: Iterator[list[tuple]]) -> Iterator[pd.DataFrame]:
+    """The files' rows (path, para_idx, text, style, error) in frames: making and sending one costs more than reading a small file."""
+    out, chars = [], 0
+
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["path", "para_idx", "text", "style", "error"]).astype({"para_idx": "Int32"})
+
+    for rows in files:
+        out.extend(rows)
+        chars += sum(len(r[2] or "") for r in rows)
+        if len(out) >= FRAME_ROWS or chars >= FRAME_CHARS:
+            yield frame()
+            out, chars = [], 0
+    if out:
+        yield frame()
+
+
 def read_paragraphs(files: DataFrame, convert: DocConverter | None = None, opener: FileOpener = open_file) -> DataFrame:
     """Paragraphs of .docx files, and of .doc files that are .docx inside or that ``convert`` turns into it.
 
@@ -124,6 +143,9 @@ def read_paragraphs(files: DataFrame, convert: DocConverter | None = None, opene
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _in_frames(rows_of(batches))
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
         for batch in batches:
             for path, kind, content in zip(batch.path, batch.suffix, batch.content, strict=True):
                 rows, error = [], None
@@ -137,9 +159,7 @@ def read_paragraphs(files: DataFrame, convert: DocConverter | None = None, opene
                     error = f"{type(e).__name__}: {e}"
                     if kind == ".doc":
                         rows, error = converted(path, content)
-                out = [(path, i, t, s, None) for i, (t, s) in enumerate(rows)] + ([(path, None, None, None, error)] if error else [])
-                frame = pd.DataFrame(out, columns=["path", "para_idx", "text", "style", "error"])
-                yield frame.astype({"para_idx": "Int32"})
+                yield [(path, i, t, s, None) for i, (t, s) in enumerate(rows)] + ([(path, None, None, None, error)] if error else [])
 
     def converted(path: str, content: bytes | None) -> tuple[list[tuple[str, str]], str | None]:
         try:

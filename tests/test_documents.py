@@ -136,3 +136,14 @@ def test_moved_files_are_not_read_again(spark, folder):
     assert sorted(later, key=str) == sorted(want, key=str)
     assert {"Q.pdf", "d1.docx"}.isdisjoint((folder / "opened").read_text().split())
     assert update()[1] == []
+
+
+def test_small_files_share_frames(monkeypatch):
+    from pagefinder.sources import files
+
+    rows = [[(f"{k}.docx", 0, f"text {k}", "", None)] for k in range(1000)] + [[("bad.docx", None, None, None, "BadZipFile: no")], []]
+    frames = list(files._in_frames(iter(rows)))
+    assert len(frames) == 1 and len(frames[0]) == 1001 and frames[0].error.notna().sum() == 1
+    monkeypatch.setattr(files, "FRAME_CHARS", 40)
+    frames = list(files._in_frames(iter(rows)))
+    assert len(frames) > 100 and [p for f in frames for p in f.path] == [r[0] for x in rows for r in x]
