@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 from contextlib import AbstractContextManager, ExitStack
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ PdfOpener = Callable[[str], AbstractContextManager[Callable[[int, int], list[tup
 #: What a task has to read, in pages of usual cost; a longer file is shared by several tasks.
 PAGES_A_TASK = 64
 LINES = "array<struct<text:string,conf:double>>"
+#: Pages whose texts are held at once, whatever Spark's batches hold.
+PAGES_AT_ONCE = 64
 
 
 def lines_text(lines: Column) -> Column:
@@ -77,6 +79,27 @@ def in_shares(pages: DataFrame, order: list[str], cost: Column, share: float = P
     return dealt.repartitionById(tasks, "_task").sortWithinPartitions(*order).select(*pages.columns)
 
 
+def page_by_page(batches: Iterator[pa.RecordBatch], read: OcrEngine) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``PAGES_AT_ONCE`` pages with ``ocr_error`` set and ``_lines`` added."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+            batch = whole.slice(at, PAGES_AT_ONCE)
+            found, errors = [], []
+            for info in batch.column("render_info").to_pylist():
+                try:
+                    lines = read(info["pdf_path"], int(info["page_idx"]), int(info["dpi"]))
+                    found.append([{"text": t, "conf": float(c)} for t, c in lines])
+                    errors.append(None)
+                except Exception as e:
+                    found.append([])
+                    errors.append(f"{type(e).__name__}: {e}")
+            place = batch.schema.get_field_index("ocr_error")
+            text = batch.schema.field(place).type
+            columns = [*batch.columns, pa.array(found, pa.list_(pa.struct([("text", text), ("conf", pa.float64())])))]
+            columns[place] = pa.array(errors, text)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_lines"])
+
+
 def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpener | None = None, cost: Column | None = None) -> DataFrame:
     """Fills text, chapter, ocr_conf and ocr_error of scanned blocks without text; ``scanned`` stays.
 
@@ -89,23 +112,9 @@ def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpe
     if (engine is None) == (opener is None):
         raise ValueError("give an engine or an opener")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ExitStack() as files:
-            read = engine or _by_file(opener, files)
-            for batch in batches:
-                yield page_by_page(batch, read)
-
-    def page_by_page(batch: pd.DataFrame, read: OcrEngine) -> pd.DataFrame:
-        found, errors = [], []
-        for info in batch.render_info:
-            try:
-                lines = read(info["pdf_path"], int(info["page_idx"]), int(info["dpi"]))
-                found.append([{"text": t, "conf": float(c)} for t, c in lines])
-                errors.append(None)
-            except Exception as e:
-                found.append([])
-                errors.append(f"{type(e).__name__}: {e}")
-        return batch.assign(_lines=found, ocr_error=errors)
+            yield from page_by_page(batches, engine or _by_file(opener, files))
 
     need = F.coalesce(F.col("scanned") & (F.col("text") == ""), F.lit(False))
     if "ocr_conf" not in blocks.columns:
@@ -115,7 +124,7 @@ def recognise(blocks: DataFrame, engine: OcrEngine | None = None, opener: PdfOpe
         keyed = todo.withColumns({"_path": F.col("render_info.pdf_path"), "_page": F.col("render_info.page_idx")})
         todo = in_shares(keyed, ["_path", "_page"], F.lit(1) if cost is None else cost).drop("_path", "_page")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema.fields)
-    done = todo.mapInPandas(run, f"{schema}, _lines {LINES}")
+    done = todo.mapInArrow(run, f"{schema}, _lines {LINES}")
     done = done.withColumn("text", lines_text(F.col("_lines"))).withColumn("chapter", override_chapter(F.col("chapter"), F.col("text")))
     done = done.withColumn("ocr_conf", F.when(F.col("ocr_error").isNull(), lines_confidence(F.col("_lines")))).drop("_lines")
     return blocks.where(~need).unionByName(done)

@@ -147,3 +147,26 @@ def test_small_files_share_frames(monkeypatch):
     monkeypatch.setattr(files, "FRAME_CHARS", 40)
     frames = list(files._in_frames(iter(rows)))
     assert len(frames) > 100 and [p for f in frames for p in f.path] == [r[0] for x in rows for r in x]
+
+
+def test_pages_go_on_few_at_a_time():
+    import pyarrow as pa
+
+    from pagefinder.operators import ocr
+
+    info = [{"pdf_path": f"p{k}", "page_idx": k, "dpi": 300} for k in range(1000)]
+    whole = pa.RecordBatch.from_pydict({"page": list(range(1000)), "ocr_error": pa.array([None] * 1000, pa.string()), "render_info": info})
+    seen = []
+
+    def engine(path, page, dpi):
+        seen.append(page)
+        if page == 7:
+            raise ValueError("torn")
+        return [(path, 0.5)]
+
+    parts = ocr.page_by_page(iter([whole]), engine)
+    first = next(parts)
+    assert len(seen) == first.num_rows <= ocr.PAGES_AT_ONCE
+    rows = [r for b in (first, *parts) for r in b.to_pylist()]
+    assert [r["page"] for r in rows] == list(range(1000)) and rows[7]["ocr_error"] == "ValueError: torn" and rows[7]["_lines"] == []
+    assert all(r["_lines"] == [{"text": r["render_info"]["pdf_path"], "conf": 0.5}] and r["ocr_error"] is None for r in rows if r["page"] != 7)
