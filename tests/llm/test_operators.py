@@ -410,6 +410,31 @@ def test_outlines_lose_no_pair(spark):
     assert {p for p, j in like.items() if j >= 0.8} <= left and not {p for p, j in like.items() if j < 0.5} & left
 
 
+def test_common_words_make_no_bands(spark):
+    """Lines of few words, all common, share no band unless six words in a row meet: what is compared doesn't grow with the square."""
+    rng = random.Random(4)
+    some = ["the", "of", "and", "in", "to", "that", "was", "ing", "er", "on"] * 4 + [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choices(some, k=40))) for k in range(2000)]
+    bands = line_dedup.with_bands(spark.createDataFrame(rows, "cid long, line string"), "line").select("cid", F.explode("bands").alias("key")).distinct()
+    most = bands.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs")).first()
+    assert most.most <= 20 and most.pairs <= 2 * len(rows)
+
+
+def test_large_bands_meet_more_hubs(spark, monkeypatch):
+    """A band of many classes whose first hub is like none of them is united by further hubs, with the result of all pairs."""
+    monkeypatch.setattr(line_dedup, "MANY", 3)
+    rng = random.Random(12)
+    words = [f"word{k}" for k in range(400)]
+    shared = " ".join(rng.choices(words, k=7))
+    rows = []
+    for g in range(3):
+        base = rng.choices(words, k=60)
+        rows += [(100 * g + k, " ".join([shared, *base[:k], f"x{k}", *base[k + 1 :]])) for k in range(15)]
+    rows += [(900 + k, " ".join([shared, *rng.choices(words, k=60)])) for k in range(6)]
+    got = {(r.doc_id, r.line_no) for r in line_dedup.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()}
+    assert got == line_dedup.brute_force(rows) and len(got) == 9
+
+
 def test_extreme_vectors(spark):
     rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e300, 1e300]), (4, [1e308, 1e308]), (5, [-0.0, 1.0]), (6, [0.0, 1.0]), (6, [0.0, 1.0]), (None, [0.0, -1.0])]
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embed_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
